@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import loose_code
 from ..session import table
 from .near_duplicates import NearDuplicates
+from .packing import pack
+from .quantiles import load_summaries, percentiles
+from .tokens import count_tokens, encode_texts
+
+CAPACITY = 2048
+SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+EPSILON = 0.005
 
 
 def _statements(spark: SparkSession, d: str) -> DataFrame:
@@ -18,5 +26,43 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(_statements(spark, d), "key", "text").key_pairs()
 
 
-QUERIES = {f.__name__: f for f in (p4_found,)}
+def _amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as they came in each load; a row sent twice counts once."""
+    o = table(spark, d, "device_orders")
+    used = ["order_id", "load_id", "loaded_at", "product_l1", "order_amount", "profit_amount"]
+    return o.select(*used, F.xxhash64(*[c for c in o.columns if c not in used]).alias("rest")).distinct().withColumn("product_l1", loose_code(F.col("product_l1")))
+
+
+def _load_states(spark: SparkSession, d: str) -> DataFrame:
+    return load_summaries(_amounts(spark, d), "product_l1", "load_id", ["order_amount", "profit_amount"], EPSILON)
+
+
+def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles(_load_states(spark, d), ["group", "measure"], SHARES, EPSILON).withColumnRenamed("group", "product_l1")
+
+
+def p6_load_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    out = percentiles(_load_states(spark, d), ["group", "part", "measure"], [0.5, 0.95], EPSILON)
+    return out.withColumnsRenamed({"group": "product_l1", "part": "load_id"})
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_texts(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text").distinct()
+    return pack(count_tokens(docs, "text"), "doc_id", "n_tokens", CAPACITY)
+
+
+def p9_packing(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnRenamed("key", "doc_id")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    used = _packed(spark, d).filter("container IS NOT NULL").groupBy("container").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("used"))
+    return used.withColumn("free", CAPACITY - F.col("used"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p6_percentiles, p6_load_percentiles, p8_ids, p9_packing, p9_containers)}
 SQL: dict[str, str] = {}
