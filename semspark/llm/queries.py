@@ -10,6 +10,7 @@ from ..session import table
 from .near_duplicates import NearDuplicates
 from .packing import pack
 from .quantiles import load_summaries, percentiles
+from .subjects import SubjectGraph
 from .tokens import count_tokens, encode_texts
 
 CAPACITY = 2048
@@ -64,5 +65,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return used.withColumn("free", CAPACITY - F.col("used"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_percentiles, p6_load_percentiles, p8_ids, p9_packing, p9_containers)}
+def _subject_shares(spark: SparkSession, d: str) -> DataFrame:
+    areas = sorted(r[0] for r in table(spark, d, "subject_areas").select(F.lower(F.trim("subject"))).distinct().limit(100).collect() if r[0])  # a fixed list
+    return SubjectGraph(table(spark, d, "documents"), table(spark, d, "doc_labels"), areas).document_shares()
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subject_shares(spark, d).filter("share >= 0.25").select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    shares = _subject_shares(spark, d).filter("share >= 0.25")
+    return shares.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("share"), 3).alias("weight"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p6_percentiles, p6_load_percentiles, p8_ids, p9_packing, p9_containers, p10_found, p10_composition)}
 SQL: dict[str, str] = {}
