@@ -9,9 +9,10 @@ at most (a + b)(1 - t)/(1 + t) items, their difference budget.
 2. In that order two texts that are alike share their first two common items within the heads of both. A text is
    signed by each head item whose slot is rare and by each pair of head items that are not, so a pair of texts
    that shares no signature is not alike. The shorter text's head is shorter, as all its partners are longer.
-3. A signature carries the ring of its text: segments of consecutive item buckets with the number of items in each.
-   A pair goes on only if from some segment on, chains of consecutive segments keep their summed differences within
-   the chain's proportional share of the budget, up to the chain around the whole ring (pigeonring principle).
+3. A signature carries the ring of its text: 128 bits, each the parity of the number of items that hash to it. Bits
+   in which two rings differ are a lower bound of the items in which the texts differ. A pair goes on only if from
+   some segment of the ring on, chains of consecutive segments keep their summed differences within the chain's
+   proportional share of the budget, up to the chain around the whole ring (pigeonring principle).
 4. The pairs left get the exact check on all items.
 
 Exact copies (equal multisets) form one class and are compared once. No cap on partners or candidates is set.
@@ -33,26 +34,34 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 
 SLOTS = 1 << 20
-SEGMENTS, WIDTH = 7, 15  # ring: 7 segments of 4 buckets, 4 bits each (a full bucket stays at 15)
-ONES, TOPS = 0x01010101010101, 0x80808080808080  # a one, and the top bit, in each of 7 bytes
+RING = 128  # bits
+ITEM = 6  # bytes kept of an item's hash: two items of a pair of texts are confused once in some 10^10 pairs
 WORD = re.compile(r"\w+")
 CLASS = "class_hi long, class_lo long, size int, items binary"
 SIGNED = ["sig", "class_lo", "size", "short", "ring_a", "ring_b"]
 
 
-def _items(text: str, known: dict[tuple[str, int], int]) -> np.ndarray:
-    """Hashes of the numbered words of a text, unordered."""
+def _items(text: str, known: dict[str, list[bytes]]) -> bytes:
+    """Hashes of the numbered words of a text, in order of the words; equal multisets give equal bytes."""
     out = []
-    for word, n in Counter(WORD.findall(text.lower())).items():
-        for k in range(n):
-            h = known.get((word, k))
-            if h is None:
-                h = known[word, k] = xxhash.xxh64_intdigest(f"{word}#{k}" if k else word)
-            out.append(h)
-    return np.array(out, dtype=np.uint64)
+    counts = Counter(WORD.findall(text.lower()))
+    for word in sorted(counts):
+        n, own = counts[word], known.setdefault(word, [])
+        while len(own) < n:
+            own.append(xxhash.xxh64_digest(f"{word}#{len(own)}" if own else word)[:ITEM])
+        out.extend(own[:n])
+    return b"".join(out)
+
+
+def _hashes(items: list[bytes]) -> np.ndarray:
+    """The hashes in some packed texts, one after another."""
+    raw = np.frombuffer(b"".join(items), np.uint8).reshape(-1, ITEM)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :ITEM] = raw
+    return wide.view(np.uint64).ravel()
 
 
 def word_multisets(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -62,21 +71,20 @@ def word_multisets(df: DataFrame, key: str, text: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, int], int] = {}
+        known: dict[str, list[bytes]] = {}
         seen: set[bytes] = set()
         for batch in batches:
             keys, digests, size, items = [], [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.sort(_items(t, known))
-                if len(own):
-                    raw = own.tobytes()
-                    d = xxhash.xxh3_128_digest(raw)
+                own = _items(t, known)
+                if own:
+                    d = xxhash.xxh3_128_digest(own)
                     keys.append(k)
                     digests.append(d)
-                    size.append(len(own))
-                    items.append(None if d in seen else raw)
+                    size.append(len(own) // ITEM)
+                    items.append(None if d in seen else own)
                     seen.add(d)
-            if len(known) > 2_000_000:
+            if len(known) > 1_000_000:
                 known.clear()
             ids = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(size, pa.int32()), pa.array(items, pa.binary())], ["key", "class_hi", "class_lo", "size", "items"])
@@ -91,8 +99,7 @@ def slot_counts(classes: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            raw = b"".join(batch.column(0).to_pylist())
-            total += np.bincount((np.frombuffer(raw, np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            total += np.bincount((_hashes(batch.column(0).to_pylist()) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
@@ -103,12 +110,11 @@ def slot_counts(classes: DataFrame) -> np.ndarray:
 
 
 def _rings(flat: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two longs per text; byte s of both holds the four buckets of segment s."""
-    b = 4 * SEGMENTS
-    bucket = ((flat >> np.uint64(33)) % np.uint64(b)).astype(np.int64)
-    counts = np.minimum(np.bincount(owner * b + bucket, minlength=n * b).reshape(n, b), WIDTH).astype(np.int64)
-    shifts = np.arange(2 * SEGMENTS, dtype=np.int64) * 4
-    return (counts[:, : 2 * SEGMENTS] << shifts).sum(1), (counts[:, 2 * SEGMENTS :] << shifts).sum(1)
+    """Two longs per text: parities of the numbers of items that hash to each of RING bits."""
+    bit = (flat >> np.uint64(25)) % np.uint64(RING)
+    odd = (np.bincount(owner * RING + bit.astype(np.int64), minlength=n * RING) & 1).astype(np.uint8)
+    longs = np.packbits(odd).view(np.int64).reshape(n, 2)
+    return longs[:, 0], longs[:, 1]
 
 
 def signatures(classes: DataFrame, likeness: float, rare: int, counts: np.ndarray) -> DataFrame:
@@ -122,7 +128,7 @@ def signatures(classes: DataFrame, likeness: float, rare: int, counts: np.ndarra
             n = len(size)
             if not n:
                 continue
-            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
+            flat = _hashes(batch.column(2).to_pylist())
             owner = np.repeat(np.arange(n), size)
             ring_a, ring_b = _rings(flat, owner, n)
             c = count[(flat & np.uint64(SLOTS - 1)).astype(np.int64)]
@@ -145,61 +151,43 @@ def signatures(classes: DataFrame, likeness: float, rare: int, counts: np.ndarra
                 at.append(fo[gap:][same])
                 first.append(fs[gap:][same])
             sig, at_, short_ = np.concatenate(sigs), np.concatenate(at), np.concatenate(first)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig.view(np.int64) >> 16, lo[at_], size[at_], short_, ring_a[at_], ring_b[at_])], SIGNED)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig.view(np.int64) & ((1 << 48) - 1), lo[at_], size[at_], short_, ring_a[at_], ring_b[at_])], SIGNED)
 
     return classes.select("class_lo", "size", "items").mapInArrow(run, "sig long, class_lo long, size int, short boolean, ring_a long, ring_b long")
 
 
-def budget(a: Column, b: Column, likeness: float) -> Column:
-    """Items in which two texts of these sizes may differ and still be ``likeness`` alike."""
-    return F.floor((a + b) * F.lit((1 - likeness) / (1 + likeness)) + 1e-9).cast("bigint")
+def pigeonring(a: str, b: str, allowed: Column, segments: int = 4) -> Column:
+    """Whether chains of consecutive segments of two rings, from some segment on, keep their share of the budget."""
+    width = 2 * 64 // segments
+    differ = []
+    for ring in ("ring_a", "ring_b"):
+        x = F.col(f"{a}.{ring}").bitwiseXOR(F.col(f"{b}.{ring}"))
+        differ += [F.bit_count(F.shiftrightunsigned(x, i).bitwiseAND(F.lit((1 << width) - 1))) for i in range(0, 64, width)]
+    some = F.lit(False)
+    for start in range(segments):
+        ok, total = F.lit(True), F.lit(0)
+        for n in range(1, segments):
+            total = total + differ[(start + n - 1) % segments]
+            ok = ok & (total * segments <= allowed * n)
+        some = some | ok
+    return some
 
 
-def segment_differences(a: tuple[str, str], b: tuple[str, str]) -> Column:
-    """A long whose byte s is a lower bound (at most 31) of the items in which segment s of two rings differs.
-
-    The buckets of all segments are compared at once, a byte each: 16 + x - y tells the sign of x - y by its bit 4.
-    """
-    low = 0x0F0F0F0F0F0F0F
-    parts = []
-    for x, y in zip(a, b, strict=True):
-        for shift in (0, 4):
-            x4, y4 = (f"(shiftrightunsigned({v}, {shift}) & {low})" for v in (x, y))
-            t = f"({x4} + {ONES * 16} - {y4})"
-            up = f"((shiftrightunsigned({t}, 4) & {ONES}) * 31)"
-            parts.append(f"(({t} & {low} & {up}) | ((({t} ^ {ONES * 31}) - {ONES * 15}) & {ONES * 31} & ~{up}))")
-    total = "(" + " + ".join(parts) + ")"
-    return F.expr(f"({total} & {ONES * 31}) | (((shiftrightunsigned({total}, 5) | shiftrightunsigned({total}, 6)) & {ONES}) * 31)")
-
-
-def pigeonring(d: str, allowed: str) -> Column:
-    """Whether chains of 1 to 4 consecutive segments, from some segment on, and the whole ring keep their share of the budget."""
-    whole = (1 << 8 * SEGMENTS) - 1
-
-    def turned(v: str, n: int) -> str:
-        return f"((shiftrightunsigned({v}, {8 * n}) | shiftleft({v}, {8 * (SEGMENTS - n)})) & {whole})"
-
-    chains = {1: d, 2: f"({d} + {turned(d, 1)})", 3: f"({d} + {turned(d, 1)} + {turned(d, 2)})", 4: f"({d} + {turned(d, 1)} + {turned(d, 2)} + {turned(d, 3)})"}
-    # bit 7 of a byte: the chain from this segment on exceeds its share
-    over = " | ".join(f"({c} + (127 - least(127L, {allowed} * {n} DIV {SEGMENTS})) * {ONES})" for n, c in chains.items())
-    odd = 0x00FF00FF00FF00FF
-    pairs = f"(({d} & {odd}) + (shiftrightunsigned({d}, 8) & {odd}))"
-    ring = " + ".join(f"(shiftrightunsigned({pairs}, {16 * i}) & 65535)" for i in range(4))
-    return F.expr(f"(({over}) & {TOPS}) <> {TOPS} AND ({ring}) <= {allowed}")
+def ring_difference(a: str, b: str) -> Column:
+    """Bits in which two rings differ: the chain around the whole ring."""
+    return F.bit_count(F.col(f"{a}.ring_a").bitwiseXOR(F.col(f"{b}.ring_a"))) + F.bit_count(F.col(f"{a}.ring_b").bitwiseXOR(F.col(f"{b}.ring_b")))
 
 
 def candidates(signed: DataFrame, likeness: float) -> DataFrame:
     """(a, b): class_lo of pairs that share a signature and pass the pigeonring filter, each once."""
     a, b = signed.alias("a"), signed.alias("b")
-    order = (F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.class_lo") < F.col("b.class_lo")))
-    # both sides read the same exchange; that only the shorter text's signature must be in its short head is told after
-    on = (F.col("a.sig") == F.col("b.sig")) & order & (F.col("a.size") >= F.col("b.size") * likeness - 1e-9) & (F.col("a.short") | F.col("b.short"))
-    met = a.join(b, on)
-    d = segment_differences(("a.ring_a", "a.ring_b"), ("b.ring_a", "b.ring_b"))
-    allowed = budget(F.col("a.size"), F.col("b.size"), likeness)
-    # explode binds both figures, so that they are computed once for each pair
-    bound = met.select(F.col("a.class_lo").alias("a"), F.col("b.class_lo").alias("b"), F.col("a.short").alias("short"), F.explode(F.array(F.struct(d.alias("d"), allowed.alias("allowed")))).alias("p"))
-    return bound.filter(F.col("short") & pigeonring("p.d", "p.allowed")).select("a", "b").distinct()
+    # written as a test of both sides, as both read the same rows
+    reach = F.when(F.col("a.short"), F.col("a.size")).otherwise(F.lit(1 << 30))
+    order = (reach < F.col("b.size")) | ((reach == F.col("b.size")) & (F.col("a.class_lo") < F.col("b.class_lo")))
+    seen = (F.col("a.sig") == F.col("b.sig")) & order & (F.col("a.short") | F.col("b.short"))
+    allowed = F.floor((F.col("a.size") + F.col("b.size")) * F.lit((1 - likeness) / (1 + likeness)) + 1e-9).cast("int")
+    on = seen & (F.col("a.size") >= F.col("b.size") * likeness - 1e-9) & (ring_difference("a", "b") <= allowed) & pigeonring("a", "b", allowed)
+    return a.join(b, on).select(F.col("a.class_lo").alias("a"), F.col("b.class_lo").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, likeness: float) -> DataFrame:
@@ -211,10 +199,9 @@ def verified(pairs: DataFrame, classes: DataFrame, likeness: float) -> DataFrame
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate((p, q)))
+                both = np.sort(_hashes([x, y]))
                 same = int((both[1:] == both[:-1]).sum())
-                keep.append(same >= likeness * (len(p) + len(q) - same) - 1e-9)
+                keep.append(same >= likeness * (len(both) - same) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], ["a_hi", "a_lo", "b_hi", "b_lo"]).filter(pa.array(keep, pa.bool_()))
 
     rows = both.select("a_hi", F.col("a").alias("a_lo"), "b_hi", F.col("b").alias("b_lo"), "a_items", "b_items")
@@ -228,23 +215,32 @@ class NearDuplicates:
     items and does not change the result.
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str, likeness: float = 0.8, rare: int = 300):
+    def __init__(self, df: DataFrame, key: str, text: str, likeness: float = 0.8, rare: int = 150):
+        self.parts = parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = word_multisets(df, key, text).persist(StorageLevel.MEMORY_AND_DISK)
         self.keys = rows.select("key", "class_hi", "class_lo").distinct()
-        classes = rows.filter("items IS NOT NULL").drop("key").repartition("class_lo").dropDuplicates(["class_lo", "class_hi"])
+        classes = rows.filter("items IS NOT NULL").drop("key").repartition(parts, "class_lo").dropDuplicates(["class_lo", "class_hi"])
         self.classes = classes.persist(StorageLevel.MEMORY_AND_DISK)
         self.likeness, self.rare = likeness, rare
 
     def class_pairs(self) -> DataFrame:
-        signed = signatures(self.classes, self.likeness, self.rare, slot_counts(self.classes))
-        return verified(candidates(signed, self.likeness), self.classes, self.likeness)
+        """(a_hi, a_lo, b_hi, b_lo); what each step shuffled is released when its result is written."""
+        spark = self.classes.sparkSession
+        counts = slot_counts(self.classes)
+        signed = signatures(self.classes, self.likeness, self.rare, counts).repartition(self.parts, "sig").persist(StorageLevel.MEMORY_AND_DISK)
+        pairs = materialise(candidates(signed, self.likeness), "candidates")  # both sides of the join read the one exchange
+        signed.unpersist()
+        del signed
+        release(spark)
+        pairs = materialise(verified(pairs, self.classes, self.likeness), "class_pairs")
+        release(spark)
+        return pairs
 
     def key_pairs(self) -> DataFrame:
         """(key_a, key_b), key_a < key_b: all pairs of keys with texts alike, copies included."""
-        k = self.keys
-        a = k.select(F.col("key").alias("x"), F.col("class_hi").alias("a_hi"), F.col("class_lo").alias("a_lo"))
-        b = k.select(F.col("key").alias("y"), F.col("class_hi").alias("b_hi"), F.col("class_lo").alias("b_lo"))
-        near = materialise(self.class_pairs(), "near_pairs").join(a, ["a_hi", "a_lo"]).join(b, ["b_hi", "b_lo"]).filter("x <> y")
-        near = near.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
-        copies = a.join(b, (F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") == F.col("b_lo")) & (F.col("x") < F.col("y")))
-        return near.unionByName(copies.select(F.col("x").alias("key_a"), F.col("y").alias("key_b"))).distinct()
+        keys = self.keys
+        copied = keys.groupBy("class_hi", "class_lo").agg(F.count("*").alias("n")).filter("n > 1")
+        pairs = self.class_pairs().unionByName(copied.select(*[F.col(f"class_{p}").alias(f"{s}_{p}") for s in "ab" for p in ("hi", "lo")]))
+        a, b = (keys.select(F.col("key").alias(f"key_{s}"), F.col("class_hi").alias(f"{s}_hi"), F.col("class_lo").alias(f"{s}_lo")) for s in "ab")
+        both = pairs.join(a, ["a_hi", "a_lo"]).join(b, ["b_hi", "b_lo"]).filter("key_a <> key_b")
+        return both.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
