@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import loose_code
 from ..session import table
+from .defects import answer_facts, defect_posteriors, one_defect
 from .near_duplicates import NearDuplicates
 from .packing import pack
 from .quantiles import load_summaries, percentiles
@@ -27,6 +28,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(_statements(spark, d), "key", "text").key_pairs()
 
 
+def _posteriors(spark: SparkSession, d: str) -> DataFrame:
+    return defect_posteriors(answer_facts(table(spark, d, "query_writer_calls"), "call_id", "question", "response"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return one_defect(_posteriors(spark, d)).withColumnRenamed("key", "call_id")
+
+
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = _posteriors(spark, d)
+    return rows.select(F.col("key").alias("call_id"), "defect", F.round("posterior", 4).alias("posterior"))
+
+
 def _amounts(spark: SparkSession, d: str) -> DataFrame:
     """Rows as they came in each load; a row sent twice counts once."""
     o = table(spark, d, "device_orders")
@@ -79,5 +93,5 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return shares.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("share"), 3).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_percentiles, p6_load_percentiles, p8_ids, p9_packing, p9_containers, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_labels, p6_percentiles, p6_load_percentiles, p8_ids, p9_packing, p9_containers, p10_found, p10_composition)}
 SQL: dict[str, str] = {}
