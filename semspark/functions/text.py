@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Aggregate prefixes and generic labels.
-AGGREGATE_PREFIX = r"(?i)^(sum|avg|average|max|min|count)[\s_\-]+"
-LABEL_NOISE = r"[\s_\-（）()【】\[\]]"
-GENERIC_LABEL = r"(?i)^(图表|表格|指标|组件|chart|table|component|metric|filter|过滤器)\s*\d*$"
+# Aggregate prefixes, characters that labels are compared without, and labels that say nothing.
+AGGREGATE_PREFIX = r"(?i)^(?:sum|avg|average|max|min|count)[_\-\s]+"
+LABEL_NOISE = r"[\s_\-（）()【】\[\]]+"
+GENERIC_LABEL = r"(?i)^(?:LONG_COL_?\d+|COL_?\d+|c\d+|图表\d*|组件\d*)$"
 
 
 def loose_code(code: Column) -> Column:
@@ -45,7 +45,7 @@ def empty_segment_places(path: Column) -> Column:
 
 def normalize_label(label: Column, brackets: bool = True) -> Column:
     """Without aggregate prefix, white space, dashes (and brackets), in small letters."""
-    noise = LABEL_NOISE if brackets else r"[\s_\-]"
+    noise = LABEL_NOISE if brackets else r"[\s_\-]+"
     return F.lower(F.regexp_replace(F.regexp_replace(F.trim(label), AGGREGATE_PREFIX, ""), noise, ""))
 
 
@@ -54,11 +54,11 @@ def is_generic_label(label: Column) -> Column:
 
 
 def char_jaccard(a: Column, b: Column, places: int = 4) -> Column:
-    """Jaccard likeness of the sets of characters; 0 where either text is null or empty."""
-    chars = lambda x: F.filter(F.array_distinct(F.split(F.coalesce(x, F.lit("")), "")), lambda c: c != "")
+    """Jaccard likeness of the sets of characters of two normalised labels; 0 where either is null or empty."""
+    chars = lambda x: F.filter(F.array_distinct(F.split(normalize_label(F.coalesce(x, F.lit(""))), "")), lambda c: c != "")
     both, either = F.size(F.array_intersect(chars(a), chars(b))), F.size(F.array_union(chars(a), chars(b)))
-    empty = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
-    return F.when(empty, F.lit(0.0)).otherwise(F.round(F.try_divide(both.cast("double"), either.cast("double")), places))
+    share = F.try_divide(both.cast("double"), either.cast("double"))
+    return F.floor(F.coalesce(share, F.lit(0.0)) * 10**places + 0.5) / 10**places
 
 
 def make_ref(kind: str, *parts: Column) -> Column:
