@@ -96,8 +96,10 @@ class RangeArrays:
 def find_orphans(refs: DataFrame, code: str, date: str, parents: DataFrame, parent_code: str, start: str, end: str, few: int = 200_000, part_rows: int = 250_000, per_range: int = 4096) -> DataFrame:
     """The rows of ``refs`` whose code points to no parent in force on their date, with a column ``reason``.
 
-    missing: no parent has the code. later: the date precedes every start. deleted: any other.
+    missing: no parent has the code. later: the date precedes every start. deleted: any other. Columns of ``refs``
+    named reason, range, part, _key or _day are left out.
     """
+    refs = refs.select(*[c for c in refs.columns if c not in ("reason", "range", "part", "_key", "_day")])
     keys, bounds = parent_ranges(parents, parent_code, start, end, per_range)
     tagged = refs.withColumns({"_key": loose_code(F.col(code)), "_day": F.unix_date(F.col(date).cast("date"))}).filter("_key IS NOT NULL")
     out = refs.schema.names
