@@ -108,10 +108,12 @@ def sql_is_cut(sql: str) -> bool:
         grouped = re.search(r"\bgroup\s+by\b(.*?)(?:\border\s+by\b|\blimit\b|\bhaving\b|$)", shape.group(2), re.IGNORECASE | re.DOTALL)
         if plain and (grouped is None or len([g for g in _top_level(grouped.group(1)) if g]) < len(plain)):
             return True
-        if plain and grouped and {p.lower().split(" as ")[0].strip() for p in plain} != {re.sub(r"\s+\w{1,4}$", "", g.lower()).strip() for g in _top_level(grouped.group(1))}:
+        if grouped and any(re.search(r"\S\s+\w+$", g) for g in _top_level(grouped.group(1))):
             return True
-    tail = re.search(r"\border\s+by\s+[\w.]+\s+(\w+)$", bare, re.IGNORECASE)
-    return bool(tail and tail.group(1).lower() not in ("asc", "desc"))
+        if plain and grouped and {p.lower().split(" as ")[0].strip() for p in plain} != {g.lower().strip() for g in _top_level(grouped.group(1))}:
+            return True
+    tail = re.search(r"\border\s+by\s+[\w.]+\s+(\w+)(?:\s+(\w+))?$", bare, re.IGNORECASE)
+    return bool(tail and (tail.group(1).lower() not in ("asc", "desc", "limit") or tail.group(2) and not tail.group(2).isdigit()))
 
 
 def _texts(value: object) -> list[str]:
@@ -249,7 +251,7 @@ def labelling_functions() -> dict[str, list[Column]]:
         "empty": [yes(~said), yes(no_sql & ((c("letters") < 4) | F.lower(F.trim("prose")).isin("null", "none", "empty", "n/a"))), F.when(c("has_sql") == 1, 0)],
         "refusal": [F.when(said & no_sql & refuses, 1), when(no_sql & said, (c("copied") < 0.75) & whole | refuses), F.when(c("has_sql") == 1, 0)],
         "copied_question": [yes(said & no_sql & (c("copied") >= 0.75) & (c("repeated") >= 0.4)), when(no_sql & said & ~refuses, c("copied") >= 0.7), F.when(refuses | (c("has_sql") == 1), 0)],
-        "truncated": [when(c("json").isNotNull(), c("json") == 0), when(c("fence").isNotNull(), c("fence") == 0), c("sql_cut"), when(c("loose_end").isNotNull() & (c("has_sql") == 1) | (c("loose_end") == 1) & (c("copied") < 0.7) & ~refuses & said, c("loose_end") == 1)],
+        "truncated": [F.when(c("json") == 0, 1), F.when(c("fence") == 0, 1), F.when(c("sql_cut") == 1, 1), F.when((c("loose_end") == 1) & said & ((c("has_sql") == 1) | (c("copied") < 0.7) & ~refuses), 1), F.when(whole & (F.coalesce("sql_cut", F.lit(0)) == 0), 0)],
         "other_language": [F.when(c("asked").isNotNull() & c("told").isNotNull() & (c("has_sql") == 1), (c("asked") != c("told")).cast("int")), F.when(no_sql, 0)],
     }
 
@@ -271,8 +273,9 @@ class LabelModel:
         for _ in range(self.rounds):
             y = self.posterior(votes)
             w1, w0 = (n * y)[:, None] * voted, (n * (1 - y))[:, None] * voted
-            self.p1 = ((w1 * cast).sum(0) + 8 * self.hit) / (w1.sum(0) + 8)
-            self.p0 = ((w0 * cast).sum(0) + 1000 * self.alarm) / (w0.sum(0) + 1000)
+            # a function that votes is held to be better than chance, else both labels could change places
+            self.p1 = np.clip(((w1 * cast).sum(0) + 8 * self.hit) / (w1.sum(0) + 8), 0.7, 0.999)
+            self.p0 = np.clip(((w0 * cast).sum(0) + 1000 * self.alarm) / (w0.sum(0) + 1000), 0.0001, 0.05)
             self.prior = float(((n * y).sum() + 1) / (n.sum() + 1 / self.share))
         return self
 
@@ -284,13 +287,16 @@ class LabelModel:
 
 
 def best_cutoff(y: np.ndarray, n: np.ndarray) -> float:
-    """The cutoff with the best expected F1 on pairs with posteriors ``y``; 0.5 where there is nothing to tell."""
+    """The cutoff with the best expected F1 on pairs with posteriors ``y``, midway to the next lower posterior; 0.5 where there is nothing to tell."""
     best, at = 0.0, 0.5
-    for cut in np.unique(np.round(y[y >= 0.3], 3)):
-        taken = y >= cut - 1e-9
+    levels = np.unique(y)
+    for i, cut in enumerate(levels):
+        if cut < 0.3:
+            continue
+        taken = y >= cut
         f1 = 2 * (n * y)[taken].sum() / (n[taken].sum() + (n * y).sum())
         if f1 > best + 1e-12:
-            best, at = f1, float(cut)
+            best, at = f1, float(cut + (levels[i - 1] if i else 0.0)) / 2
     return at
 
 

@@ -116,8 +116,9 @@ def phrase_edges(forms: DataFrame) -> DataFrame:
 class SubjectGraph:
     """Propagates the subjects of labelled documents to sentence forms; ``subjects`` is the fixed list of their names.
 
-    purity: a phrase that occurs often in labelled documents links only if that share of them bears one label.
-    even: the weight of no subject in a sentence; prior: labelled occurrences that weigh as much as the base rate.
+    purity: a phrase that occurs often in labelled documents links only if that share of them bears one label. even: the
+    weight of no subject in a sentence. Both are taken of the share that the purest tenth of phrases reaches, which
+    tells how complete the labels are. prior: labelled occurrences that weigh as much as the base rate.
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = 3, prior: float = 3.0, purity: float = 0.7, even: float = 0.35):
@@ -131,6 +132,9 @@ class SubjectGraph:
     def _sums(self, weight: Column, of: list[Column]) -> list[Column]:
         return [F.sum(weight * c).alias(n) for c, n in zip(of, self.names, strict=True)]
 
+    def _top(self) -> Column:
+        return F.greatest(*[F.col(n) for n in self.names], F.lit(0.0), F.lit(0.0))
+
     def propagate(self) -> DataFrame:
         """(form, s0, s1, ..., best): weight of each subject per sentence form, and that of its purest phrase."""
         names, prior = self.names, self.prior
@@ -146,16 +150,18 @@ class SubjectGraph:
 
         by_seed = edges.join(seen, "form").groupBy("phrase").agg(*[F.sum(n).alias(n) for n in [*names, "size"]])
         seeds = materialise(by_seed, "seeds")
-        strongest = F.greatest(*[F.col(n) for n in names])
-        flat = seeds.filter((F.col("size") >= 15) & (strongest < self.purity * F.col("size"))).select("phrase")
+        strongest = self._top()
+        known = seeds.filter(F.col("size") >= 15)
+        level = known.agg(F.percentile_approx(strongest / F.col("size"), 0.9)).first()[0] or 1.0  # one figure
+        flat = known.filter(strongest < self.purity * level * F.col("size")).select("phrase")
         links = materialise(edges.join(flat, "phrase", "left_anti"), "links")
         counted = forms.select("form", "n")
         current = seeds.select("phrase", *shrunk([F.col(n) for n in names], F.col("size")))
         state = None
         for turn in range(self.rounds):
             weighed = join_unique(links, current.withColumn("w", F.pow(strongest, 4)), "phrase")
-            state = weighed.groupBy("form").agg(*[(F.sum(F.col("w") * F.col(n)) / F.sum("w")).alias(n) for n in names], F.max(strongest).alias("best"))
-            power = sum((F.pow(F.col(n), 3) for n in names), F.lit(self.even**3))
+            state = weighed.groupBy("form").agg(*[F.coalesce(F.try_divide(F.sum(F.col("w") * F.col(n)), F.sum("w")), F.lit(0.0)).alias(n) for n in names], F.max(strongest).alias("best"))
+            power = sum((F.pow(F.col(n), 3) for n in names), F.lit((self.even * level) ** 3))
             state = materialise(state.select("form", "best", *[(F.pow(F.col(n), 3) / power).alias(n) for n in names]), "forms")
             if turn + 1 == self.rounds:
                 break
@@ -164,13 +170,13 @@ class SubjectGraph:
             old = seeds.select("phrase", *[F.col(n).alias(f"o{n}") for n in names], F.col("size").alias("osize"))
             both = mean.join(old, "phrase", "left").fillna(0.0, ["osize", *[f"o{n}" for n in names]])
             current = materialise(both.select("phrase", *shrunk([F.col(n) + F.col(f"o{n}") for n in names], F.col("size") + F.col("osize"))), "phrases")
-        return state
+        return state.withColumn("sure", F.col("best") >= 0.5 * level)
 
     def sentence_subjects(self) -> DataFrame:
         """(form, subject) of the sentence forms that treat a subject."""
-        top = F.greatest(*[F.col(n) for n in self.names])
-        name = F.coalesce(*[F.when(F.col(n) == top, F.lit(s)) for n, s in zip(self.names, self.subjects, strict=True)])
-        return self.propagate().filter((top >= 0.5) & (F.col("best") >= 0.5)).select("form", name.alias("subject"))
+        top = self._top()
+        name = F.coalesce(*[F.when(F.col(n) == top, F.lit(s)) for n, s in zip(self.names, self.subjects, strict=True)], F.lit(None).cast("string"))
+        return self.propagate().filter((top >= 0.5) & F.col("sure")).select("form", name.alias("subject"))
 
     def document_shares(self) -> DataFrame:
         """(doc_id, subject, share): the share of each document's sentences that treat the subject."""
