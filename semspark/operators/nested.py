@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -121,23 +122,32 @@ class ReportTables:
         rows = records.select("record_id", "report_id", "exported_at", "doc_json").filter(F.col("doc_json").isNotNull()).distinct()
         rows = rows.withColumn("version", F.xxhash64("report_id", "exported_at", "doc_json"))
         self.nodes = materialise(shred(rows, ["record_id", "version", "report_id"], "doc_json"), "report_nodes")
-        self.elements = list_elements(self.nodes, self.KEYS, LISTS)
+        self.elements = materialise(list_elements(self.nodes, self.KEYS, LISTS), "report_elements")
 
-    def reports(self) -> DataFrame:
+    @cached_property
+    def _reports(self) -> DataFrame:
         """The report object of each record: at the top, or under the record's report id."""
         k, n = self.KEYS, self.nodes
         fields = n.filter(F.col("label").isin(REPORT_FIELDS)).select(*k, F.col("parent").alias("node")).distinct()
         objects = n.filter((F.col("kind") == "object") & ((F.col("node") == 1) | ((F.col("parent") == 1) & (F.col("label") == F.col("report_id")))))
         found = objects.join(fields, [*k, "node"], "left_semi")
-        return found.groupBy(*k).agg(F.min("node").alias("node"))
+        return materialise(found.groupBy(*k).agg(F.min("node").alias("node")), "reports")
+
+    def reports(self) -> DataFrame:
+        """The report object of each record."""
+        return self._reports
 
     def segments(self) -> DataFrame:
         e = self.elements.filter((F.col("list") == "report_path_segments") & not_blank(F.col("kind"), F.col("scalar")))
         return e.join(self.reports().withColumnRenamed("node", "owner"), [*self.KEYS, "owner"]).select(*self.KEYS, F.col("place").alias("item_no"), F.col("scalar").alias("segment"))
 
-    def components(self) -> DataFrame:
+    @cached_property
+    def _components(self) -> DataFrame:
         e = self.elements.filter((F.col("list") == "components") & (F.col("kind") == "object"))
-        return e.join(self.reports().withColumnRenamed("node", "owner"), [*self.KEYS, "owner"]).select(*self.KEYS, F.col("place").alias("component_no"), "node")
+        return materialise(e.join(self.reports().withColumnRenamed("node", "owner"), [*self.KEYS, "owner"]).select(*self.KEYS, F.col("place").alias("component_no"), "node"), "components")
+
+    def components(self) -> DataFrame:
+        return self._components
 
     def datasets(self) -> DataFrame:
         d = self.nodes.filter((F.col("label") == "dataset") & (F.col("kind") == "object")).select(*self.KEYS, F.col("parent").alias("owner"), "node")
@@ -145,13 +155,17 @@ class ReportTables:
 
     def statements(self) -> DataFrame:
         """Of a dataset with both layouts, sql_list counts."""
+        return self._statements
+
+    @cached_property
+    def _statements(self) -> DataFrame:
         k = self.KEYS
         s = self.elements.filter(F.col("list").isin("sql_list", "queries"))
         s = s.join(self.datasets().withColumnRenamed("node", "owner"), [*k, "owner"])
         twice = s.groupBy(*k, "owner").agg(F.max("list").alias("list"))
         s = s.join(twice, [*k, "owner", "list"], "left_semi")
         said = (F.col("kind") == "object") | ((F.col("kind") == "string") & F.col("scalar").rlike(r"(?U)\S"))
-        return s.filter(said).select(*k, "component_no", F.col("place").alias("statement_no"), "node", F.col("scalar").alias("text"))
+        return materialise(s.filter(said).select(*k, "component_no", F.col("place").alias("statement_no"), "node", F.col("scalar").alias("text")), "statements")
 
     def physical_tables(self) -> DataFrame:
         e = self.elements.filter((F.col("list") == "physical_tables") & not_blank(F.col("kind"), F.col("scalar"))).withColumnRenamed("node", "item")
