@@ -21,8 +21,8 @@ def mode_first_seen(df: DataFrame, keys: list[str], value: str, position: str) -
 
 def topk_either_endpoint(pairs: DataFrame, a: str, b: str, score: str, k: int) -> DataFrame:
     """Pairs among the best k of at least one of their ends, by falling score, then by the other end."""
-    ends = pairs.select(F.explode(F.array(F.struct(F.col(a).alias("end"), F.col(b).alias("other")), F.struct(F.col(b).alias("end"), F.col(a).alias("other")))).alias("x"), a, b, score)
-    w = W.partitionBy("x.end").orderBy(F.col(score).desc(), F.col("x.other"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col(a).alias("end"), F.col(b).alias("other")), F.struct(F.col(b).alias("end"), F.col(a).alias("other")))).alias("_at"), a, b, score)
+    w = W.partitionBy("_at.end").orderBy(F.col(score).desc(), F.col("_at.other"))
     best = ends.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
     return best.select(a, b, score).distinct()
 
@@ -46,12 +46,14 @@ def char_grams(text: Column, lo: int = 2, hi: int = 4) -> Column:
     """Character n-grams inside words, each word padded with a blank at both ends; a word no longer than n gives itself once."""
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " "), lambda w: w != "")
 
+    def windows(p: Column, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1)))
+        return F.when(F.length(p) > n, F.transform(places, lambda i: F.substring(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
     def grams(w: Column) -> Column:
         p = F.concat(F.lit(" "), w, F.lit(" "))
-        size = F.length(p)
-        whole = F.filter(F.array(*[F.when((size <= n) & ((size > n - 1) | (F.lit(n) == lo)), p) for n in range(lo, hi + 1)]), lambda x: x.isNotNull())
-        cut = [F.when(size > n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.substring(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(lo, hi + 1)]
-        return F.concat(*cut, whole)
+        whole = F.when(F.length(p) <= hi, F.array(p)).otherwise(F.array().cast("array<string>"))
+        return F.concat(*[windows(p, n) for n in range(lo, hi + 1)], whole)
 
     return F.coalesce(F.flatten(F.transform(words, grams)), F.array().cast("array<string>"))
 
