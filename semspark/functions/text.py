@@ -69,3 +69,8 @@ def make_ref(kind: str, *parts: Column) -> Column:
 def fingerprint(*fields: str) -> Column:
     """SHA-256 of the canonical JSON of the columns named: keys in order, nulls kept, no spaces."""
     return F.sha2(F.to_json(F.struct(*[F.col(f) for f in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+
+
+def redact(text: Column) -> Column:
+    """Values of keys, tokens and passwords hidden, as ``name=***``."""
+    return F.regexp_replace(text, r"(?i)\b((?:api[_-]?)?key|token|secret|password|authorization)(\"?\s*[=:]\s*\"?|\s+)(?:bearer\s+)?[^\s\",;&]+", "$1$2***")

@@ -74,3 +74,18 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, key: str, text: str, k: in
     score = hits.groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("v")).alias("score"))
     w = W.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc")
     return score.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", F.col("doc").alias(key), "score", "rank")
+
+
+def resolve_names(names: DataFrame, name: str, known: DataFrame, full: str) -> DataFrame:
+    """``names`` with resolved and status: exact (without case), unique_leaf, ambiguous_leaf or unmatched.
+
+    The leaf is what follows the last dot. Null names are unmatched; known names that repeat count once.
+    """
+    k = known.select(F.lower(F.col(full)).alias("_full"), F.col(full).alias("_known")).filter("_full IS NOT NULL")
+    exact = k.groupBy("_full").agg(F.min("_known").alias("_exact"))
+    leaf = k.withColumn("_leaf", F.substring_index("_full", ".", -1)).groupBy("_leaf").agg(F.count_distinct("_full").alias("_n"), F.min("_known").alias("_one"))
+    low = F.lower(F.col(name))
+    out = names.withColumns({"_full": low, "_leaf": F.substring_index(low, ".", -1)}).join(exact, "_full", "left").join(leaf, "_leaf", "left")
+    status = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_n") == 1, "unique_leaf").when(F.col("_n") > 1, "ambiguous_leaf").otherwise("unmatched")
+    resolved = F.coalesce("_exact", F.when(F.col("_n") == 1, F.col("_one")))
+    return out.withColumns({"resolved": resolved, "status": status}).drop("_full", "_leaf", "_exact", "_n", "_one")

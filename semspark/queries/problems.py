@@ -143,7 +143,35 @@ def _key(day: str) -> str:
     return f"CAST(year({day}) * 10000 + month({day}) * 100 + day({day}) AS INTEGER)"
 
 
+def _items(x: str) -> str:
+    """The elements of a JSON value that stands for a list."""
+    return f"CASE WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN [] WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [{x}] END"
+
+
+_FIELDS = "['report_path', 'report_path_segments', 'components', 'mapping', 'status']"
+_FILLED = "json_type({0}) <> 'NULL' AND NOT (json_type({0}) = 'VARCHAR' AND NOT regexp_matches({0} ->> '$', '[^\\s\\p{{Z}}]'))"
+_PLACES = f"""
+WITH raw AS (SELECT DISTINCT record_id, report_id, exported_at, doc_json FROM report_structure WHERE json_valid(doc_json)),
+once AS (SELECT record_id, report_id, doc_json::JSON AS j FROM raw),
+docs AS (SELECT record_id, report_id, CASE WHEN json_type(j) <> 'VARCHAR' THEN j WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END AS j FROM once),
+obj AS (SELECT * FROM docs WHERE json_type(j) = 'OBJECT'),
+rep AS (SELECT record_id, CASE WHEN list_has_any(json_keys(j), {_FIELDS}) THEN j ELSE json_extract(j, '$."' || report_id || '"') END AS r FROM obj),
+reports AS (SELECT record_id, r FROM rep WHERE r IS NOT NULL AND json_type(r) = 'OBJECT' AND list_has_any(json_keys(r), {_FIELDS})),
+seg AS (SELECT record_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT record_id, {_items("json_extract(r, '$.report_path_segments')")} AS l FROM reports)),
+comp AS (SELECT record_id, unnest(l) AS x, generate_subscripts(l, 1) AS c FROM (SELECT record_id, {_items("json_extract(r, '$.components')")} AS l FROM reports)),
+ds AS (SELECT record_id, c, json_extract(x, '$.dataset') AS d FROM comp WHERE json_type(x) = 'OBJECT'),
+st AS (SELECT record_id, c, unnest(l) AS x, generate_subscripts(l, 1) AS s FROM (SELECT record_id, c,
+  CASE WHEN coalesce(json_type(json_extract(d, '$.sql_list')), 'NULL') <> 'NULL' THEN {_items("json_extract(d, '$.sql_list')")} ELSE {_items("json_extract(d, '$.queries')")} END AS l FROM ds WHERE json_type(d) = 'OBJECT')),
+said AS (SELECT * FROM st WHERE json_type(x) = 'OBJECT' OR (json_type(x) = 'VARCHAR' AND {_FILLED.format('x')})),
+pt AS (SELECT record_id, c, s, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT record_id, c, s, {_items("json_extract(x, '$.physical_tables')")} AS l FROM said WHERE json_type(x) = 'OBJECT'))
+SELECT DISTINCT record_id, 'segment' AS node_kind, 0 AS component_no, 0 AS statement_no, i::INTEGER AS item_no FROM seg WHERE {_FILLED.format('x')}
+UNION ALL SELECT DISTINCT record_id, 'component', c::INTEGER, 0, 0 FROM comp WHERE json_type(x) = 'OBJECT'
+UNION ALL SELECT DISTINCT record_id, 'statement', c::INTEGER, s::INTEGER, 0 FROM said
+UNION ALL SELECT DISTINCT record_id, 'physical_table', c::INTEGER, s::INTEGER, i::INTEGER FROM pt WHERE {_FILLED.format('x')}
+"""
+
 SQL = {
+    "p1_found": _PLACES,
     "p2_found": _ORPHANS + "SELECT table_name, order_id, reason FROM orphans",
     "p2_by_period": _ORPHANS + "SELECT table_name, year(order_date) * 100 + month(order_date) AS month_key, reason, count(*) AS orphans FROM orphans GROUP BY ALL",
     "p3_profile": _LONG + "SELECT feed_code, load_id, column_name, n, nulls, CASE WHEN column_name <> 'profit_amount' THEN distinct_values END AS distinct_values, bad FROM m",

@@ -408,3 +408,29 @@ def similar_table_names(spark: SparkSession, d: str) -> DataFrame:
     names = names.withColumn("text", F.translate("name", "_.", "  "))
     asked = names.filter(F.pmod(F.xxhash64("name"), F.lit(50)) == 0)
     return ranking.tfidf_search(names, asked, "name", "text", 5).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH k AS (SELECT DISTINCT t, lower(t) AS f FROM (SELECT unnest(table_names) AS t FROM nodes WHERE node_type <> 'example_query') WHERE t IS NOT NULL),
+x AS (SELECT f, min(t) AS t FROM k GROUP BY 1), l AS (SELECT string_split(f, '.')[-1] AS leaf, count(DISTINCT f) AS n, min(t) AS t FROM k GROUP BY 1),
+u AS (SELECT DISTINCT t FROM (SELECT unnest(used_tables) AS t FROM generation_attempts) WHERE t IS NOT NULL)
+SELECT u.t AS table_name, coalesce(x.t, CASE WHEN l.n = 1 THEN l.t END) AS resolved, CASE WHEN x.t IS NOT NULL THEN 'exact' WHEN l.n = 1 THEN 'unique_leaf' WHEN l.n > 1 THEN 'ambiguous_leaf' ELSE 'unmatched' END AS status
+FROM u LEFT JOIN x ON x.f = lower(u.t) LEFT JOIN l ON l.leaf = string_split(lower(u.t), '.')[-1]""")
+def resolved_tables(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "nodes").filter("node_type <> 'example_query'").select(F.explode("table_names").alias("full"))
+    used = table(spark, d, "generation_attempts").select(F.explode("used_tables").alias("table_name")).filter("table_name IS NOT NULL").distinct()
+    return ranking.resolve_names(used, "table_name", known, "full")
+
+
+CONTRACT = ["assumptions", "columns", "explanation", "sql", "tables"]
+
+
+@query("""WITH r AS (SELECT DISTINCT call_id, response FROM query_writer_calls WHERE response LIKE '{%' AND json_valid(response)),
+k AS (SELECT call_id, json_keys(response) AS keys, json_type(response, '$.sql') AS kind FROM r)
+SELECT call_id, len(list_filter(keys, lambda x: x NOT IN ('assumptions', 'columns', 'explanation', 'sql', 'tables')))::INTEGER AS extra_fields,
+  len(list_filter(['assumptions', 'columns', 'explanation', 'sql', 'tables'], lambda x: NOT list_contains(keys, x)))::INTEGER AS missing_fields, coalesce(kind, 'NULL') = 'VARCHAR' AS has_sql FROM k""")
+def contract_violations(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "query_writer_calls").filter("response LIKE '{%'").select("call_id", "response").distinct()
+    keys = rows.withColumn("keys", F.json_object_keys("response")).filter("keys IS NOT NULL AND try_parse_json(response) IS NOT NULL")
+    allowed = F.array(*[F.lit(c) for c in CONTRACT])
+    sql = F.get_json_object("response", "$.sql")
+    return keys.select("call_id", F.size(F.filter("keys", lambda k: ~F.array_contains(allowed, k))).alias("extra_fields"), F.size(F.array_except(allowed, F.col("keys"))).alias("missing_fields"), sql.isNotNull().alias("has_sql"))

@@ -47,6 +47,17 @@ def test_char_jaccard_equals_sets(spark, a, b):
     assert math.isclose(got, math.floor(want * 1e4 + 0.5) / 1e4)
 
 
+def test_redaction(spark):
+    assert one(spark, 'curl --token abc123 -d "password": "x y" API_KEY=q', text.redact) == 'curl --token *** -d "password": "*** y" API_KEY=***'
+
+
+def test_name_resolution(spark, rows):
+    known = spark.createDataFrame([("dm.Orders",), ("dm.orders",), ("a.x",), ("b.x",), (None,)], "full string")
+    names = spark.createDataFrame([("DM.ORDERS",), ("orders",), ("x",), ("c.x",), ("y",), (None,)], "name string")
+    got = {r.name: (r.resolved, r.status) for r in ranking.resolve_names(names, "name", known, "full").collect()}
+    assert got == {"DM.ORDERS": ("dm.Orders", "exact"), "orders": ("dm.Orders", "unique_leaf"), "x": (None, "ambiguous_leaf"), "c.x": (None, "ambiguous_leaf"), "y": (None, "unmatched"), None: (None, "unmatched")}
+
+
 SQLS = {
     "SELECT a.x AS \"月份\", SUM(b.y) AS total FROM dm.t a LEFT JOIN u b ON a.i = b.i WHERE a.org_code = 'ORG_1' AND z IN (1, 2) GROUP BY a.x LIMIT 10": (["dm.t", "u"], ["sum"], ["left"], 10),
     "-- note\nWITH q AS (SELECT * FROM s) SELECT COUNT(*) FROM q JOIN v USING (i)": (["s", "v"], ["count"], ["inner"], None),
