@@ -30,7 +30,7 @@ DEFECTS = ["empty", "refusal", "copied_question", "truncated", "other_language"]
 
 # Words that tell languages, names of languages in requests, marks of refusal, words that cannot end SQL.
 STOPWORDS = {
-    "en": "the is are by to of and in for not so no from with that this was were only here list show what".split(),
+    "en": "the is are by to of and in for not so no from with that this was were only here list show what over first last per each highest".split(),
     "de": "der die das und ist nicht ein eine den dem von je im werden wird auf nach bitte wie zeige sich aus mit zu gehören".split(),
     "es": "el la los las de del por en que es un una para con se no cuál fue muestra compara según lo y al".split(),
     "fr": "le la les des du par est un une et dans pour que ne pas sont aux ce sur au avec".split(),
@@ -179,7 +179,7 @@ def read_answer(response: str | None) -> dict:
 
 def language(text: str) -> str | None:
     """Language of some prose by script and stop words; None if it can't be told."""
-    text = re.sub(r"\S*[_\d]\S*", " ", text)
+    text = re.sub(r"[A-Za-z0-9_.]*[_\d][A-Za-z0-9_.]*", " ", text)
     if KANA.search(text):
         return "ja"
     letters = [c for c in text if c.isalpha()]
@@ -189,7 +189,7 @@ def language(text: str) -> str | None:
     score = {k: sum(w in v for w in words) for k, v in _SETS.items()}
     best = max(score, key=score.get)
     second = max(v for k, v in score.items() if k != best)
-    return best if score[best] >= 2 and score[best] > second else None
+    return best if score[best] > second and (score[best] >= 2 or not second) else None
 
 
 _SETS = {k: frozenset(v) for k, v in STOPWORDS.items()}

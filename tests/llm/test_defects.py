@@ -61,6 +61,11 @@ def test_language_asked_for_and_odd_pairs(spark):
     assert {k: got.get(k) for k in (9001, 9002, 9003, 9004, 9005)} == {9001: None, 9002: "other_language", 9003: None, 9004: "empty", 9005: None}
 
 
+@pytest.mark.parametrize("text, want", [("帮我看一下ORG_2165各国家的回款率变化情况", "zh"), ("List ORG_2336's average ticket per month over Q4 2025, highest first.", "en"), ("Zeige die Bruttomarge von ORG_1 je Monat. Bitte auf Englisch antworten.", "en"), ("ORG_1 2026", None), ("", None)])
+def test_languages(text, want):
+    assert defects.expected_language(text) == want
+
+
 def test_label_model_learns_who_is_right():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.1
