@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext
 from ..functions.text import char_jaccard, is_generic_label, normalize_label
+from ..session import materialise
 from .nested import ReportTables, component_table, entity, statement_table
 
 # Kinds that are read from SQL or lineage, and kinds that only place a report.
@@ -25,8 +26,8 @@ PLACING = ["report_path", "report_mapping", "component_name", "dataset_path"]
 
 def evidence_items(t: ReportTables) -> DataFrame:
     """(record_id, kind, text): each item of a record once."""
-    statements = statement_table(t).filter("sql IS NOT NULL")
-    components = component_table(t)
+    statements = materialise(statement_table(t).filter("sql IS NOT NULL"), "statement_table")  # read by six of the kinds
+    components = materialise(component_table(t), "component_table")
     sql = F.col("sql")
 
     def kind(df: DataFrame, name: str, text: Column) -> DataFrame:
