@@ -257,33 +257,34 @@ def labelling_functions() -> dict[str, list[Column]]:
 
 
 class LabelModel:
-    """Naive Bayes over votes with a hidden label, fitted by expectation maximisation to pattern counts.
+    """Votes with a hidden label, fitted by expectation maximisation to pattern counts.
 
-    Functions are held to be precise at first: false alarms are rare (prior ``alarm``), misses are not.
+    A vote weighs the ratio of how often it is cast on pairs with and without the label; an abstention weighs nothing,
+    since a function that sees one form of a defect says nothing of the others. A function is held to be better
+    than chance: a vote for the label weighs at least ``least``, one against it at most ``most``, else the labels could
+    change places. At first false alarms are held to be rare.
     """
 
-    def __init__(self, alarm: float = 0.002, hit: float = 0.8, share: float = 0.03, rounds: int = 50):
-        self.alarm, self.hit, self.share, self.rounds = alarm, hit, share, rounds
+    def __init__(self, share: float = 0.02, first: tuple[float, float] = (300.0, 0.05), least: float = 50.0, most: float = 0.3, rounds: int = 50):
+        self.share, self.first, self.least, self.most, self.rounds = share, first, least, most, rounds
 
     def fit(self, votes: np.ndarray, n: np.ndarray) -> LabelModel:
         """votes: a row per pattern with 1, 0 or NaN. n: how many pairs have it."""
         k = votes.shape[1]
-        self.p1, self.p0, self.prior = np.full(k, self.hit), np.full(k, self.alarm), self.share
-        cast, voted = np.nan_to_num(votes), ~np.isnan(votes)
+        self.yes, self.no, self.prior = np.full(k, self.first[0]), np.full(k, self.first[1]), self.share
+        ones, zeros = votes == 1, votes == 0
         for _ in range(self.rounds):
             y = self.posterior(votes)
-            w1, w0 = (n * y)[:, None] * voted, (n * (1 - y))[:, None] * voted
-            # a function that votes is held to be better than chance, else both labels could change places
-            self.p1 = np.clip(((w1 * cast).sum(0) + 8 * self.hit) / (w1.sum(0) + 8), 0.7, 0.999)
-            self.p0 = np.clip(((w0 * cast).sum(0) + 1000 * self.alarm) / (w0.sum(0) + 1000), 0.0001, 0.05)
-            self.prior = float(((n * y).sum() + 1) / (n.sum() + 1 / self.share))
+            with_, without = n * y, n * (1 - y)
+            rate = lambda w, cast, few: ((w[:, None] * cast).sum(0) + few) / (w.sum() + 1)
+            self.yes = np.clip(rate(with_, ones, 0.05) / rate(without, ones, 0.05), self.least, 1e5)
+            self.no = np.clip(rate(with_, zeros, 0.05) / rate(without, zeros, 0.05), 1e-5, self.most)
+            self.prior = float((with_.sum() + 100 * self.share) / (n.sum() + 100))
         return self
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        cast, voted = np.nan_to_num(votes), ~np.isnan(votes)
-        l1 = (voted * np.where(cast > 0, np.log(self.p1), np.log(1 - self.p1))).sum(1) + np.log(self.prior)
-        l0 = (voted * np.where(cast > 0, np.log(self.p0), np.log(1 - self.p0))).sum(1) + np.log(1 - self.prior)
-        return 1 / (1 + np.exp(np.clip(l0 - l1, -60, 60)))
+        weight = np.where(votes == 1, np.log(self.yes), np.where(votes == 0, np.log(self.no), 0.0)).sum(1)
+        return 1 / (1 + np.exp(-np.clip(weight + np.log(self.prior / (1 - self.prior)), -60, 60)))
 
 
 def best_cutoff(y: np.ndarray, n: np.ndarray) -> float:
