@@ -71,16 +71,11 @@ def _strip_strings(sql: str) -> tuple[str, bool]:
 
 
 def _top_level(text: str) -> list[str]:
-    """Items of a list that stand outside parentheses."""
-    out, depth, cur = [], 0, ""
-    for c in text:
-        depth += (c == "(") - (c == ")")
-        if c == "," and depth == 0:
-            out.append(cur.strip())
-            cur = ""
-        else:
-            cur += c
-    return [*out, cur.strip()]
+    """Items of a list that stand outside parentheses; what is inside is left out."""
+    n = 1
+    while n:
+        text, n = re.subn(r"\([^()]*\)", "\x00", text)
+    return [x.replace("\x00", "()").strip() for x in text.split(",")]
 
 
 def sql_is_cut(sql: str) -> bool:
@@ -182,23 +177,28 @@ def language(text: str) -> str | None:
     text = re.sub(r"[A-Za-z0-9_.]*[_\d][A-Za-z0-9_.]*", " ", text)
     if KANA.search(text):
         return "ja"
-    letters = [c for c in text if c.isalpha()]
-    if letters and sum(bool(HAN.match(c)) for c in letters) >= 0.3 * len(letters):
+    if len(HAN.findall(text)) >= 0.3 * max(1, sum(map(str.isalpha, text))):
         return "zh"
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    score = {k: sum(w in v for w in words) for k, v in _SETS.items()}
+    score = dict.fromkeys(STOPWORDS, 0)
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        for k in _LANGUAGES.get(word, ()):
+            score[k] += 1
     best = max(score, key=score.get)
     second = max(v for k, v in score.items() if k != best)
     return best if score[best] > second and (score[best] >= 2 or not second) else None
 
 
-_SETS = {k: frozenset(v) for k, v in STOPWORDS.items()}
+_LANGUAGES: dict[str, list[str]] = {}
+for _k, _words in STOPWORDS.items():
+    for _w in set(_words):
+        _LANGUAGES.setdefault(_w, []).append(_k)
+_ASKED = re.compile("|".join(rf"(?P<{k}>(?:用|以|\bin|\bauf|\ben|で)\s*(?:{names}))" for k, names in LANGUAGE_NAMES.items()), re.IGNORECASE)
 
 
 def expected_language(question: str) -> str | None:
-    for k, names in LANGUAGE_NAMES.items():
-        if re.search(rf"(?:用|以|\bin|\bauf|\ben|で)\s*(?:{names})", question, re.IGNORECASE):
-            return k
+    asked = _ASKED.search(question)
+    if asked:
+        return asked.lastgroup
     return language(question)
 
 
@@ -230,7 +230,7 @@ def answer_facts(df: DataFrame, key: str, question: str, response: str) -> DataF
                 said = bool(sql) or not PLACEHOLDER.match(re.sub(r"[\s\"'`{}\[\]()]+", "", prose))
                 shares = copy_shares(q, prose) if prose and not sql else (0.0, 0.0)
                 own = prose.replace(q.strip(), " ") if q.strip() else prose
-                rows.append((k, a["json"], a["fence"], a["loose_end"], int(bool(sql)), int(sql_is_cut(sql)) if sql else None, int(said), sum(ch.isalnum() for ch in prose), own if not sql else "", *shares, expected_language(q) if q.strip() else None, language(own)))
+                rows.append((k, a["json"], a["fence"], a["loose_end"], int(bool(sql)), int(sql_is_cut(sql)) if sql else None, int(said), sum(map(str.isalnum, prose)), own if not sql else "", *shares, expected_language(q) if q.strip() else None, language(own)))
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({c: "Int32" for c in ("json", "fence", "loose_end", "sql_cut")})
 
