@@ -5,6 +5,7 @@ window sums over a fixed number of preceding rows. The calendar holds every day
 which the longest window has run empty, no later than the entity's last; the days of a longer silence, on which all
 figures are nought, stand in one row that says through which day it lasts. So a date a century off costs a row, not
 36 000, and a fixed number of rows is still that number of days, as each silence follows a full window of empty days.
+Where each day needs its own row (``each_day``), these rows are spread over their days after the windows.
 
 Defined results: rows without entity or date are left out; NaN, null and non-finite amounts add nothing and do not
 count for the average; an average of nothing is null; an empty table gives an empty result.
@@ -43,8 +44,11 @@ def densify(days: DataFrame, longest: int) -> DataFrame:
     return spread.select("entity", F.col("_at.day").alias("day"), F.col("_at.through").alias("through"), *[F.when(first, F.col(c)).alias(c) for c in figures])
 
 
-def rolling_totals(df: DataFrame, entity: str, date: str, amounts: list[str], windows: tuple[int, ...] = (7, 30)) -> DataFrame:
-    """Per entity and day: count, total and average over each trailing window (the day itself included)."""
+def rolling_totals(df: DataFrame, entity: str, date: str, amounts: list[str], windows: tuple[int, ...] = (7, 30), each_day: bool = False) -> DataFrame:
+    """Per entity and day: count, total and average over each trailing window (the day itself included).
+
+    With ``each_day`` the days of a silence get a row each, so that every day of an entity's span has its own.
+    """
     dense = densify(daily(df, entity, date, amounts), max(windows))
     out = {}
     for n in windows:
@@ -57,4 +61,7 @@ def rolling_totals(df: DataFrame, entity: str, date: str, amounts: list[str], wi
     means = {f"{a}_avg_{n}": F.try_divide(F.col(f"{a}_total_{n}"), F.col(f"{a}_n_{n}").cast("double")) for a in amounts for n in windows}
     rows = rows.withColumns(means)
     named = [c for n in windows for c in (f"orders_{n}", *[f"{a}_{k}_{n}" for a in amounts for k in ("total", "avg")])]
+    if each_day:  # after the windows, so that they never hold the days of a silence
+        rows = rows.withColumn("day", F.explode(F.sequence("day", "through")))
+        return rows.select("entity", day_key("day").alias("day_key"), *named)
     return rows.select("entity", day_key("day").alias("day_key"), day_key("through").alias("through_key"), *named)

@@ -70,9 +70,9 @@ def p3_control_limits(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("feed").alias("feed_code"), F.col("load").alias("load_id"), "column_name", "metric", F.round("figure", 6).alias("figure"), F.round("mean", 6).alias("mean"), "out_of_control")
 
 
-def _rolling(spark: SparkSession, d: str) -> DataFrame:
+def _rolling(spark: SparkSession, d: str, each_day: bool = False) -> DataFrame:
     rows = current_rows(table(spark, d, "device_orders"), "order_id", ["loaded_at", "load_id"], ["org_code", "order_date", "order_amount", "profit_amount"])
-    return rolling_totals(rows.withColumn("org_code", loose_code(F.col("org_code"))), "org_code", "order_date", ["order_amount", "profit_amount"])
+    return rolling_totals(rows.withColumn("org_code", loose_code(F.col("org_code"))), "org_code", "order_date", ["order_amount", "profit_amount"], each_day=each_day)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,13 +80,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("entity").alias("org_code"), "day_key")
 
 
+def _rounded(rows: DataFrame, *keys: str) -> DataFrame:
+    figures = [c for c in rows.columns if c not in ("entity", *keys)]
+    return rows.select(F.col("entity").alias("org_code"), *keys, *[(F.floor(F.col(c) * 10000 + 0.5) / 10000).alias(c) if "_avg_" in c else F.col(c) for c in figures])
+
+
 def p7_rolling(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rolling(spark, d)
-    figures = [c for c in rows.columns if c not in ("entity", "day_key", "through_key")]
-    return rows.select(F.col("entity").alias("org_code"), "day_key", "through_key", *[(F.floor(F.col(c) * 10000 + 0.5) / 10000).alias(c) if "_avg_" in c else F.col(c) for c in figures])
+    return _rounded(_rolling(spark, d), "day_key", "through_key")
+
+
+def p7_days(spark: SparkSession, d: str) -> DataFrame:
+    """As p7_rolling, with a row for each day."""
+    return _rounded(_rolling(spark, d, each_day=True), "day_key")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_components, p1_statements, p2_found, p2_by_period, p3_found, p3_profile, p3_control_limits, p7_found, p7_rolling)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_components, p1_statements, p2_found, p2_by_period, p3_found, p3_profile, p3_control_limits, p7_found, p7_rolling, p7_days)}
 
 _LOOSE = "NULLIF(upper(trim({0}, ' ' || chr(9))), '')"
 _CURRENT = "current_orders AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY loaded_at DESC, load_id DESC) rn FROM device_orders) WHERE rn = 1)"
@@ -137,6 +145,22 @@ f AS (
   GROUP BY ALL
 )
 """
+#: A plain calendar of each organisation's span; its rows are days, so windows of rows are windows of days.
+_DAYS = f"""
+WITH {_CURRENT},
+o AS (SELECT {_LOOSE.format('org_code')} AS org_code, order_date AS d, CAST(order_amount AS DECIMAL(24,4)) AS a,
+             CAST(CASE WHEN isnan(profit_amount) THEN NULL ELSE profit_amount END AS DECIMAL(24,4)) AS p FROM current_orders),
+daily AS (SELECT org_code, d, count(*) AS n, sum(a) AS a, count(a) AS an, sum(p) AS p, count(p) AS pn FROM o WHERE org_code IS NOT NULL AND d IS NOT NULL GROUP BY ALL),
+span AS (SELECT org_code, min(d) AS first_day, max(d) AS last_day FROM daily GROUP BY 1),
+cal AS (SELECT org_code, CAST(first_day + i AS DATE) AS day FROM (SELECT org_code, first_day, unnest(range(0, last_day - first_day + 1))::INTEGER AS i FROM span)),
+f AS (
+  SELECT c.org_code, c.day, coalesce(sum(n) OVER w7, 0)::BIGINT AS orders_7, coalesce(sum(n) OVER w30, 0)::BIGINT AS orders_30,
+    coalesce(sum(a) OVER w7, 0)::DOUBLE AS at7, sum(an) OVER w7 AS an7, coalesce(sum(p) OVER w7, 0)::DOUBLE AS pt7, sum(pn) OVER w7 AS pn7,
+    coalesce(sum(a) OVER w30, 0)::DOUBLE AS at30, sum(an) OVER w30 AS an30, coalesce(sum(p) OVER w30, 0)::DOUBLE AS pt30, sum(pn) OVER w30 AS pn30
+  FROM cal c LEFT JOIN daily y ON y.org_code = c.org_code AND y.d = c.day
+  WINDOW w7 AS (PARTITION BY c.org_code ORDER BY c.day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY c.org_code ORDER BY c.day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
+)
+"""
 
 
 def _key(day: str) -> str:
@@ -197,5 +221,9 @@ UNION ALL SELECT load_id, column_name, 'distribution' FROM b WHERE column_name =
     "p7_rolling": _ROLLING + f"""SELECT org_code, {_key('day')} AS day_key, {_key('through')} AS through_key, orders_7,
   at7 AS order_amount_total_7, floor(at7 / nullif(an7, 0)::DOUBLE * 10000 + 0.5) / 10000 AS order_amount_avg_7, pt7 AS profit_amount_total_7, floor(pt7 / nullif(pn7, 0)::DOUBLE * 10000 + 0.5) / 10000 AS profit_amount_avg_7,
   orders_30, at30 AS order_amount_total_30, floor(at30 / nullif(an30, 0)::DOUBLE * 10000 + 0.5) / 10000 AS order_amount_avg_30, pt30 AS profit_amount_total_30, floor(pt30 / nullif(pn30, 0)::DOUBLE * 10000 + 0.5) / 10000 AS profit_amount_avg_30
+FROM f""",
+    "p7_days": _DAYS + f"""SELECT org_code, {_key('day')} AS day_key, orders_7,
+  at7 AS order_amount_total_7, floor(at7 / nullif(an7, 0)::DOUBLE * 10000 + 0.5) / 10000 AS order_amount_avg_7, pt7 AS profit_amount_total_7, floor(pt7 / nullif(pn7, 0)::DOUBLE * 10000 + 0.5) / 10000 AS profit_amount_avg_7,
+  orders_30, at30 AS order_amount_total_30, floor(at30 / nullif(an30, 0)::DOUBLE * 10000 + 0.5) / 10000 AS order_amount_avg_30, pt30 AS profit_amount_total_30, floor(pt30 / nullif(pn30, 0)::DOUBLE * 10000 + 0.5) / 10000 AS profit_amount_avg_30
 FROM f""",
 }

@@ -55,6 +55,13 @@ def test_absurd_dates_cost_few_rows(spark):
     assert rolling_totals(df, "org", "day", ["a"]).count() == 32
 
 
+def test_each_day_of_a_silence_has_a_row(spark):
+    data = [("A", DAY, 1.0, None), ("A", DAY + timedelta(400), 2.0, float("nan")), ("B", DAY, None, 3.0)]
+    df = spark.createDataFrame([(*r, "clash", "clash", 1) for r in data], SCHEMA)
+    got = {(r[0], r[1]): list(r[2:]) for r in rolling_totals(df, "org", "day", ["a", "b"], each_day=True).collect()}
+    assert got == brute(data) and len(got) == 402
+
+
 def test_empty_table(spark):
     assert rolling_totals(spark.createDataFrame([], SCHEMA), "org", "day", ["a", "b"]).count() == 0
 
