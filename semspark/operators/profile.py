@@ -3,7 +3,8 @@
 Checks are declared as ``ColumnSpec``. All of them compile into a single scan that groups by load and by the value of
 one column at a time (grouping sets): the state of a load is a table (group, load, column, value, n, bad), and states
 of two parts of a load, or of loads that came on two days, merge by adding n and bad. Numeric columns are held in
-buckets of nearly equal values, which narrow the exact median down to one bucket; only that bucket is read again.
+buckets of nearly equal values, which narrow the exact median down to one bucket; only that bucket is read again. The
+ends of a bucket merge as least and greatest; exact values and distinct counts of numbers need a count of their own.
 
 Defined results: NaN counts as null; rows without a load are of no load; rows without a feed form one feed; a load
 without a preceding one gives no drift finding; shares of nothing (no non-null value) differ from nothing; an empty
@@ -13,6 +14,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -57,7 +59,10 @@ def bucket(value: Column) -> Column:
 
 
 def load_states(df: DataFrame, feed: str, load: str, specs: list[ColumnSpec]) -> DataFrame:
-    """State table (feed, load, column_name, value, bucket, n, bad) of all columns in one scan."""
+    """State table (feed, load, column_name, value, bucket, n, bad, low, high) of all columns in one scan.
+
+    low and high are the least and greatest number of a bucket; null for texts, whose states hold the value itself.
+    """
     texts, numbers = [s for s in specs if not s.numeric], [s for s in specs if s.numeric]
     rows = df.filter(F.col(load).isNotNull()).select(
         F.col(feed).alias("feed"), F.col(load).alias("load"),
@@ -72,7 +77,8 @@ def load_states(df: DataFrame, feed: str, load: str, specs: list[ColumnSpec]) ->
     rows = rows.withColumns({f"bad_{s.name}": s.bad(F.col(f"x_{s.name}")).cast("bigint") for s in numbers})
     sets = [[F.col("feed"), F.col("load"), F.col(k)] for k in keys]
     total = rows.groupingSets(sets, F.col("feed"), F.col("load"), *[F.col(k) for k in keys])
-    agg = total.agg(F.count("*").alias("n"), *[F.sum(f"bad_{s.name}").alias(f"sum_{s.name}") for s in numbers], *[F.grouping(k).alias(f"g_{k}") for k in keys])
+    ends = [f(f"x_{s.name}").alias(f"{k}_{s.name}") for s in numbers for k, f in (("low", F.min), ("high", F.max))]
+    agg = total.agg(F.count("*").alias("n"), *[F.sum(f"bad_{s.name}").alias(f"sum_{s.name}") for s in numbers], *ends, *[F.grouping(k).alias(f"g_{k}") for k in keys])
     name = F.coalesce(*[F.when(F.col(f"g_{k}") == 0, F.lit(s.name)) for k, s in zip(keys, order, strict=True)])
     value = F.coalesce(*[F.when(F.col(f"g_t_{s.name}") == 0, F.col(f"t_{s.name}")) for s in texts], F.lit(None).cast("string"))
     where = F.coalesce(*[F.when(F.col(f"g_b_{s.name}") == 0, F.col(f"b_{s.name}")) for s in numbers], F.lit(None).cast("bigint"))
@@ -81,7 +87,8 @@ def load_states(df: DataFrame, feed: str, load: str, specs: list[ColumnSpec]) ->
         *[F.when(F.col(f"g_b_{s.name}") == 0, F.col(f"sum_{s.name}")) for s in numbers],
         F.lit(0),
     )
-    return agg.select("feed", "load", name.alias("column_name"), value.alias("value"), where.alias("bucket"), "n", bad.cast("bigint").alias("bad"))
+    end = lambda k: F.coalesce(*[F.when(F.col(f"g_b_{s.name}") == 0, F.col(f"{k}_{s.name}")) for s in numbers], F.lit(None).cast("double")).alias(k)
+    return agg.select("feed", "load", name.alias("column_name"), value.alias("value"), where.alias("bucket"), "n", bad.cast("bigint").alias("bad"), end("low"), end("high"))
 
 
 def merge_states(*states: DataFrame) -> DataFrame:
@@ -89,7 +96,7 @@ def merge_states(*states: DataFrame) -> DataFrame:
     out = states[0]
     for s in states[1:]:
         out = out.unionByName(s)
-    return out.groupBy("feed", "load", "column_name", "value", "bucket").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    return out.groupBy("feed", "load", "column_name", "value", "bucket").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def load_metrics(states: DataFrame) -> DataFrame:
@@ -125,6 +132,39 @@ def exact_medians(df: DataFrame, feed: str, load: str, spec: ColumnSpec, states:
     return ranked.groupBy("feed", "load").agg(((hit("lo") + hit("hi")) / 2).alias("median"))
 
 
+def value_counts(df: DataFrame, feed: str, load: str, specs: list[ColumnSpec], states: DataFrame) -> DataFrame:
+    """(feed, load, column_name, value, number, n): how often each text (value) or number stands in a load, nulls left out."""
+    out = states.filter("value IS NOT NULL").groupBy("feed", "load", "column_name", "value").agg(F.sum("n").alias("n"))
+    out = out.select("feed", "load", "column_name", "value", F.lit(None).cast("double").alias("number"), "n")
+    for s in specs:
+        if s.numeric:
+            rows = df.filter(F.col(load).isNotNull()).select(F.col(feed).alias("feed"), F.col(load).alias("load"), _number(F.col(s.name)).alias("number")).filter("number IS NOT NULL")
+            counts = rows.groupBy("feed", "load", "number").agg(F.count("*").alias("n"))
+            out = out.unionByName(counts.select("feed", "load", F.lit(s.name).alias("column_name"), F.lit(None).cast("string").alias("value"), "number", "n"))
+    return out
+
+
+def value_shares(counts: DataFrame, metrics: DataFrame) -> DataFrame:
+    """``counts`` with each value's share of the non-null rows of its load and column."""
+    m = metrics.select("feed", "load", "column_name", "filled")
+    on = [counts["feed"].eqNullSafe(m["feed"]), counts["load"] == m["load"], counts["column_name"] == m["column_name"]]
+    return counts.join(m, on).select(counts["feed"], counts["load"], counts["column_name"], "value", "number", "n", (F.col("n") / F.col("filled")).alias("share"))
+
+
+def full_metrics(df: DataFrame, feed: str, load: str, specs: list[ColumnSpec], states: DataFrame) -> DataFrame:
+    """load_metrics with distinct_count of every column, ranges (least, greatest of texts; low, high of numbers) and median of numbers."""
+    keys = ["feed", "load", "column_name"]
+    ends = states.groupBy(*keys).agg(F.min("value").alias("least"), F.max("value").alias("greatest"), F.min("low").alias("low"), F.max("high").alias("high"))
+    parts = [ends, value_counts(df, feed, load, specs, states).groupBy(*keys).agg(F.count("*").alias("distinct_count"))]
+    medians = [exact_medians(df, feed, load, s, states).withColumn("column_name", F.lit(s.name)) for s in specs if s.numeric]
+    parts.append(reduce(DataFrame.unionByName, medians) if medians else states.select(*keys, F.lit(None).cast("double").alias("median")).limit(0))
+    out = load_metrics(states)
+    for p in parts:
+        on = [out["feed"].eqNullSafe(p["feed"]), out["load"] == p["load"], out["column_name"] == p["column_name"]]
+        out = out.join(p, on, "left").select(*[out[c] for c in out.columns], *[p[c] for c in p.columns if c not in keys])
+    return out.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+
+
 def before(loads: DataFrame, *values: str) -> DataFrame:
     """``loads`` (a row per feed, load and column) with each value of the feed's preceding load as prev_<value>."""
     w = W.partitionBy("feed", "column_name").orderBy("load")
@@ -176,11 +216,13 @@ def findings(df: DataFrame, feed: str, load: str, specs: list[ColumnSpec], state
 def control_limits(metrics: DataFrame, history: int = 8, sigmas: float = 3.0, least: int = 4) -> DataFrame:
     """Metrics of each load with the control limits of the feed's ``history`` loads before it, and whether they hold.
 
-    Loads with fewer than ``least`` before them have no limits (null).
+    Loads with fewer than ``least`` before them have no limits (null). Of full_metrics, distinct counts and medians are
+    tested too; a load without numbers has no median.
     """
+    more = [x for c in ("distinct_count", "median") if c in metrics.columns for x in (F.lit(c), F.col(c).cast("double"))]
     rates = metrics.select("feed", "load", "column_name", F.explode(F.create_map(
         F.lit("null_rate"), F.try_divide(F.col("nulls"), F.col("n")), F.lit("bad_share"), F.try_divide(F.col("bad"), F.col("filled")),
-        F.lit("row_count"), F.col("n").cast("double"))).alias("metric", "figure"))
+        F.lit("row_count"), F.col("n").cast("double"), *more)).alias("metric", "figure")).filter("metric <> 'median' OR figure IS NOT NULL")
     w = W.partitionBy("feed", "column_name", "metric").orderBy("load").rowsBetween(-history, -1)
     mean, sd, n = F.avg("figure").over(w), F.stddev_pop("figure").over(w), F.count("figure").over(w)
     out = rates.withColumns({"mean": F.when(n >= least, mean), "sd": F.when(n >= least, sd)})

@@ -65,8 +65,21 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("feed").alias("feed_code"), F.col("load").alias("load_id"), "column_name", "n", "nulls", F.when(F.col("column_name") != "profit_amount", F.col("distinct_values")).alias("distinct_values"), "bad")
 
 
+def p3_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The whole profile: null rates, distinct counts and ranges of all columns, and medians."""
+    m = profile.full_metrics(table(spark, d, "device_orders"), "feed_code", "load_id", SPECS, _states(spark, d))
+    return m.select(F.col("feed").alias("feed_code"), F.col("load").alias("load_id"), "column_name", "n", "nulls", (F.col("nulls") / F.col("n")).alias("null_rate"), "distinct_count", "least", "greatest", "low", "high", "median", "bad")
+
+
+def p3_values(spark: SparkSession, d: str) -> DataFrame:
+    """Each value of each load with its share of the non-null rows: texts in value, numbers in number."""
+    states = _states(spark, d)
+    v = profile.value_shares(profile.value_counts(table(spark, d, "device_orders"), "feed_code", "load_id", SPECS, states), profile.load_metrics(states))
+    return v.withColumnsRenamed({"feed": "feed_code", "load": "load_id"})
+
+
 def p3_control_limits(spark: SparkSession, d: str) -> DataFrame:
-    c = profile.control_limits(profile.load_metrics(_states(spark, d)))
+    c = profile.control_limits(profile.full_metrics(table(spark, d, "device_orders"), "feed_code", "load_id", SPECS, _states(spark, d)))
     return c.select(F.col("feed").alias("feed_code"), F.col("load").alias("load_id"), "column_name", "metric", F.round("figure", 6).alias("figure"), F.round("mean", 6).alias("mean"), "out_of_control")
 
 
@@ -94,7 +107,7 @@ def p7_days(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_rolling(spark, d, each_day=True), "day_key")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_components, p1_statements, p2_found, p2_by_period, p3_found, p3_profile, p3_control_limits, p7_found, p7_rolling, p7_days)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_components, p1_statements, p2_found, p2_by_period, p3_found, p3_profile, p3_ranges, p3_values, p3_control_limits, p7_found, p7_rolling, p7_days)}
 
 _LOOSE = "NULLIF(upper(trim({0}, ' ' || chr(9))), '')"
 _CURRENT = "current_orders AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY loaded_at DESC, load_id DESC) rn FROM device_orders) WHERE rn = 1)"
@@ -199,6 +212,11 @@ SQL = {
     "p2_found": _ORPHANS + "SELECT table_name, order_id, reason FROM orphans",
     "p2_by_period": _ORPHANS + "SELECT table_name, year(order_date) * 100 + month(order_date) AS month_key, reason, count(*) AS orphans FROM orphans GROUP BY ALL",
     "p3_profile": _LONG + "SELECT feed_code, load_id, column_name, n, nulls, CASE WHEN column_name <> 'profit_amount' THEN distinct_values END AS distinct_values, bad FROM m",
+    "p3_ranges": _LONG + """SELECT feed_code, load_id, column_name, count(*) AS n, sum(CASE WHEN v IS NULL AND x IS NULL THEN 1 ELSE 0 END)::BIGINT AS nulls,
+  sum(CASE WHEN v IS NULL AND x IS NULL THEN 1 ELSE 0 END)::DOUBLE / count(*)::DOUBLE AS null_rate, count(DISTINCT v) + count(DISTINCT x) AS distinct_count,
+  min(v) AS least, max(v) AS greatest, min(x) AS low, max(x) AS high, median(x) AS median, sum(CASE WHEN bad THEN 1 ELSE 0 END)::BIGINT AS bad FROM long GROUP BY ALL""",
+    "p3_values": _LONG + """, vc AS (SELECT feed_code, load_id, column_name, v AS value, x AS number, count(*) AS n FROM long WHERE v IS NOT NULL OR x IS NOT NULL GROUP BY ALL)
+SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY feed_code, load_id, column_name)::DOUBLE AS share FROM vc""",
     "p3_found": _LONG + """
 , b AS (SELECT *, lag(load_id) OVER w AS pl, lag(n) OVER w AS pn, lag(nulls) OVER w AS pnulls, lag(distinct_values) OVER w AS pd, lag(mid) OVER w AS pmid
         FROM m WINDOW w AS (PARTITION BY feed_code, column_name ORDER BY load_id)),

@@ -72,6 +72,28 @@ def test_exact_median_of_ties_and_even_counts(spark):
     assert {r.load: r.median for r in got.collect()} == {1: 1.0, 2: 7.0}
 
 
+def test_ranges_distinct_counts_and_values(spark, rows):
+    data = [("A", 1, s, "DE", x) for s, x in (("b", -5.0), ("a", 0.0), ("a", -0.0), (None, float("nan")), ("a", 7.25), ("c", 7.26))] + [(None, 2, None, "FR", None)]
+    df = spark.createDataFrame([(*r, "clash", 1, 2) for r in data], SCHEMA)
+    states = profile.load_states(df, "feed_code", "load_id", SPECS)
+    m = profile.full_metrics(df, "feed_code", "load_id", SPECS, states)
+    got = {(r.load, r.column_name): (r.n, r.nulls, r.distinct_count, r.least, r.greatest, r.low, r.high, r.median) for r in m.collect()}
+    assert got == {
+        (1, "status"): (6, 1, 3, "a", "c", None, None, None), (1, "country"): (6, 0, 1, "DE", "DE", None, None, None), (1, "profit_amount"): (6, 1, 4, None, None, -5.0, 7.26, 0.0),
+        (2, "status"): (1, 1, 0, None, None, None, None, None), (2, "country"): (1, 0, 1, "FR", "FR", None, None, None), (2, "profit_amount"): (1, 1, 0, None, None, None, None, None),
+    }
+    shares = profile.value_shares(profile.value_counts(df, "feed_code", "load_id", SPECS, states), m)
+    assert rows(shares.filter("load = 1 AND column_name <> 'country'").select("value", "number", "n", "share")) == sorted([("a", None, 3, 0.6), ("b", None, 1, 0.2), ("c", None, 1, 0.2), (None, -5.0, 1, 0.2), (None, 0.0, 2, 0.4), (None, 7.25, 1, 0.2), (None, 7.26, 1, 0.2)], key=repr)
+
+
+def test_control_limits_of_distinct_counts_and_medians(spark):
+    data = [("A", load, ["confirmed", "cancelled", "x"][i % (3 if load == 9 else 1)], "DE", 9.0 if load == 9 else 1.0) for load in range(10) for i in range(20)]
+    df = spark.createDataFrame([(*r, "", 0, 0) for r in data], SCHEMA)
+    m = profile.full_metrics(df, "feed_code", "load_id", SPECS, profile.load_states(df, "feed_code", "load_id", SPECS))
+    out = {(r.load, r.column_name, r.metric) for r in profile.control_limits(m).filter("out_of_control").collect()}
+    assert out == {(9, "status", "distinct_count"), (9, "status", "bad_share"), (9, "profit_amount", "median")}
+
+
 def test_states_of_parts_merge_to_those_of_all(spark, rows):
     data = [("A", i % 3, ["confirmed", None, "x"][i % 3], "DE", float(i % 7)) for i in range(60)]
     df = spark.createDataFrame([(*r, "", 0, 0) for r in data], SCHEMA)
