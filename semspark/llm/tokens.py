@@ -77,13 +77,25 @@ def chunks(text: str, gear: np.ndarray) -> list[str]:
     return out
 
 
+def tail(chunk: str, last: int, n_last: int, encode) -> tuple[int, int, bool]:  # noqa: ANN001
+    """Start of what the next chunk may change, the number of its ids, and whether it is one word.
+
+    That is the last word, and an apostrophe before it: 'r, 'v and 'l are two words until the next letter makes them one.
+    """
+    if not last or chunk[last - 1] != "'":
+        return last, n_last, True
+    *_, before, _ = _words().finditer(chunk)
+    return before.start(), n_last + len(encode(before.group())), False
+
+
 def assemble(parts: list[tuple[str, np.ndarray, int, int]], encode) -> np.ndarray:  # noqa: ANN001
     """Ids of the text made of ``parts``: (chunk, its ids, start of its last word, ids of its last word)."""
     words = _words()
     text = "".join(p[0] for p in parts)
     chunk, ids, last, n_last = parts[0]
-    out, pending, begin, offset = [ids[: len(ids) - n_last]], ids[len(ids) - n_last :], last, len(chunk)
-    # out: ids of all before `begin`, where the last word of the text so far starts; pending: ids of that word, if it ends there
+    last, n_last, single = tail(chunk, last, n_last, encode)
+    out, pending, begin, offset = [ids[: len(ids) - n_last]], ids[len(ids) - n_last :] if single else None, last, len(chunk)
+    # out: ids of all before `begin`, where the tail of the text so far starts; pending: ids of that tail, if it is one word and ends there
     for chunk, ids, last, n_last in parts[1:]:
         own, own_end, skip, stop = words.finditer(chunk), offset, 0, offset + len(chunk)
         for w in words.finditer(text, begin):
@@ -99,9 +111,12 @@ def assemble(parts: list[tuple[str, np.ndarray, int, int]], encode) -> np.ndarra
                 skip += len(encode(o.group()))
             if own_end == end:
                 if end < stop:
-                    cut = len(ids) - n_last
+                    at, n, single = tail(chunk, last, n_last, encode)
+                    if offset + at < end:  # the whole text has a word's end before the last word, too
+                        at, n, single = last, n_last, True
+                    cut = len(ids) - n
                     out.append(ids[skip:cut])
-                    begin, pending = offset + last, ids[cut:]
+                    begin, pending = offset + at, ids[cut:] if single else None
                 else:
                     pending = None
                     begin, pending = w.start(), out.pop()

@@ -45,6 +45,30 @@ def test_repair_of_any_cuts(text, cuts):
     assert tokens.assemble(parts, enc.encode_ordinary).tolist() == enc.encode_ordinary(text)
 
 
+def repaired(text, at, enc):
+    parts = []
+    for a, b in zip(at, at[1:]):
+        w = list(tokens._words().finditer(text[a:b]))[-1]
+        parts.append((text[a:b], np.array(enc.encode_ordinary(text[a:b]), np.int32), w.start(), len(enc.encode_ordinary(w.group()))))
+    return tokens.assemble(parts, enc.encode_ordinary).tolist()
+
+
+@pytest.mark.parametrize("text", ["if we're", "they've gone", "you'll see", "x\n're y", "it''re", "a 're", "'ve", "x.'ll", "he's're we"])
+def test_repair_of_each_cut_of_contractions(text, enc):
+    for i in range(1, len(text)):
+        assert repaired(text, [0, i, len(text)], enc) == enc.encode_ordinary(text)
+        for j in range(i + 1, len(text)):
+            assert repaired(text, [0, i, j, len(text)], enc) == enc.encode_ordinary(text)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("lver' '\na.1")), min_size=1, max_size=60), st.lists(st.integers(1, 59), max_size=12))
+def test_repair_of_any_cuts_of_contractions(text, cuts):
+    at = sorted({0, len(text), *(c for c in cuts if c < len(text))})
+    enc = tokens.encoder(tokens.TOKENIZERS)
+    assert repaired(text, at, enc) == enc.encode_ordinary(text)
+
+
 def test_chunks_make_the_text_and_shift_with_it():
     gear = tokens._gear()
     rng = random.Random(1)
