@@ -21,6 +21,7 @@ from .nested import ReportTables, component_table, entity, statement_table
 # Kinds that are read from SQL or lineage, and kinds that only place a report.
 DETERMINISTIC = ["sql_projection", "sql_table_reference", "sql_filter", "sql_group_by", "field_lineage", "physical_field_comment"]
 STRONG = ["sql_filter", "field_lineage", "physical_field_comment"]
+COMMON_TABLE = r"(?i)(?:calendar|date_dim|dim_date|dim_org|permission|权限|日历|组织)"
 PLACING = ["report_path", "report_mapping", "component_name", "dataset_path"]
 
 
@@ -76,13 +77,19 @@ def packages(items: DataFrame, budget: int = 120_000) -> DataFrame:
     return p.withColumns({"grade": grade(F.col("kinds")), "status": status})
 
 
+PROJECTION = r"""regexp_extract_all(sql, '(?i)(?:select|,)\\s*((?:\\w+\\s*\\(\\s*(?:distinct\\s+)?[\\w.*]+\\s*\\))|[\\w.]+)\\s+as\\s+"([^"]+)"', 0)"""
+
+
+def _claim(piece: Column) -> list[Column]:
+    label = F.regexp_extract(piece, r'"([^"]+)"', 1)
+    made = F.lower(F.regexp_replace(F.regexp_extract(piece, r'(?is)^(?:select|,)\s*(.*?)\s+as\s+"', 1), r"\s+", ""))
+    return [label.alias("label"), normalize_label(label).alias("normalized"), made.alias("implementation")]
+
+
 def projection_claims(t: ReportTables) -> DataFrame:
     """(record_id, label, normalized, implementation): each quoted output column with the expression that makes it."""
-    found = F.expr(r"""regexp_extract_all(sql, '(?i)(?:select|,)\\s*((?:\\w+\\s*\\(\\s*(?:distinct\\s+)?[\\w.*]+\\s*\\))|[\\w.]+)\\s+as\\s+"([^"]+)"', 0)""")
-    rows = statement_table(t).filter("sql IS NOT NULL").select("record_id", F.explode(found).alias("piece"))
-    label = F.regexp_extract("piece", r'"([^"]+)"', 1)
-    made = F.lower(F.regexp_replace(F.regexp_extract("piece", r'(?is)^(?:select|,)\s*(.*?)\s+as\s+"', 1), r"\s+", ""))
-    return rows.select("record_id", label.alias("label"), normalize_label(label).alias("normalized"), made.alias("implementation"))
+    rows = statement_table(t).filter("sql IS NOT NULL").select("record_id", F.explode(F.expr(PROJECTION)).alias("piece"))
+    return rows.select("record_id", *_claim(F.col("piece")))
 
 
 def audit_labels(claims: DataFrame) -> DataFrame:
@@ -98,16 +105,59 @@ def synonym_candidates(claims: DataFrame) -> DataFrame:
     return named.groupBy("implementation").agg(F.array_sort(F.collect_set("normalized")).alias("labels")).filter(F.size("labels") > 1)
 
 
+def claims_in_context(t: ReportTables) -> DataFrame:
+    """projection_claims with the physical field (small letters, without alias), the dataset and the tables of each claim."""
+    rows = statement_table(t).filter("sql IS NOT NULL").select("record_id", "component_no", F.explode(F.expr(PROJECTION)).alias("piece"), sqltext.tables(F.col("sql")).alias("tables"))
+    data = component_table(t).filter("dataset_path IS NOT NULL").select("record_id", "component_no", F.col("dataset_path").alias("dataset")).distinct()
+    field = F.lower(F.regexp_extract("piece", r'(?i)(\w+)\s*\)?\s+as\s+"', 1))
+    rows = rows.join(data, ["record_id", "component_no"], "left")
+    return rows.select("record_id", *_claim(F.col("piece")), F.when(field != "", field).alias("field"), "dataset", "tables")
+
+
 def align_classes(claims: DataFrame, threshold: float = 4.0) -> DataFrame:
-    """(left_label, right_label, implementation, score): classes of claims (label, implementation) that may mean the same.
+    """(left_label, left_implementation, right_label, right_implementation, signals, score): classes of claims that may mean the same.
 
-    Classes with one implementation meet on it: 5 for the implementation, 4 for the shared field, 2 where the labels
-    share half of their characters. Equal labels with equal implementations are one class already.
+    A class is a label with an implementation; equal claims are one class already. Classes are scored where they share
+    label (5), field (4), implementation (5), or a dataset (1.5) under labels that share half of their characters (2):
+    without one of the first three, only both of these and a table in common (at least 0.2, at most 1: the mean share of
+    reports without the table) can reach the threshold. Classes that stand in one and the same report only never pair.
     """
-    classes = claims.filter(~is_generic_label(F.col("label"))).groupBy("normalized", "implementation").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("records"))
-    a, b = classes.alias("a"), classes.alias("b")
-    met = a.join(b, (F.col("a.implementation") == F.col("b.implementation")) & (F.col("a.normalized") < F.col("b.normalized")))
-    overlap = char_jaccard(F.col("a.normalized"), F.col("b.normalized"))
-    score = F.lit(9.0) + F.when(overlap >= 0.5, 2.0).otherwise(0.0)
-    out = met.select(F.col("a.normalized").alias("left_label"), F.col("b.normalized").alias("right_label"), F.col("a.implementation").alias("implementation"), score.alias("score"))
-    return out.filter(F.col("score") >= threshold)
+    said = materialise(claims.filter(~is_generic_label(F.col("label"))), "claims")
+    tables = said.select("record_id", F.explode("tables").alias("table")).distinct()
+    reports = said.select("record_id").distinct().agg(F.count("*").alias("reports"))
+    weights = tables.filter(~F.col("table").rlike(COMMON_TABLE)).groupBy("table").agg(F.count("*").alias("n")).join(F.broadcast(reports)).select("table", (1 - F.col("n") / F.col("reports")).alias("weight"))
+    keys = ["normalized", "implementation"]
+    own = said.select(*keys, F.explode("tables").alias("table")).distinct().join(weights, "table")
+    own = own.groupBy(*keys).agg(F.collect_set(F.concat_ws("\t", F.col("weight").cast("string"), "table")).alias("tables"))
+    classes = said.groupBy(*keys).agg(F.min("field").alias("field"), F.collect_set("dataset").alias("datasets"), F.min("record_id").alias("first"), F.max("record_id").alias("last"))
+    classes = materialise(classes.join(own, keys, "left").withColumn("key", F.concat_ws("\t", *keys)), "classes")
+
+    def block(on: DataFrame) -> DataFrame:
+        """Keys of the pairs that share ``by``."""
+        a, b = on.select("by", F.col("key").alias("a"), F.col("normalized").alias("la")), on.select("by", F.col("key").alias("b"), F.col("normalized").alias("lb"))
+        return a.join(b, "by").filter("a < b")
+
+    alike = char_jaccard(F.col("la"), F.col("lb")) >= 0.5
+    parts = [block(classes.withColumn("by", F.col(c)).filter("by IS NOT NULL")) for c in ("normalized", "field", "implementation")]
+    parts.append(block(classes.withColumn("by", F.explode("datasets"))).filter("la <> lb").filter(alike))
+    pairs = reduce(DataFrame.unionByName, [p.select("a", "b") for p in parts]).distinct()
+    left, right = (classes.select(*[F.col(c).alias(f"{x}_{c}") for c in classes.columns]) for x in "lr")
+    met = pairs.join(left, F.col("a") == F.col("l_key")).join(right, F.col("b") == F.col("r_key"))
+    met = met.filter("NOT (l_first = l_last AND r_first = r_last AND l_first = r_first)")
+    same = lambda c: F.coalesce(F.col(f"l_{c}") == F.col(f"r_{c}"), F.lit(False))
+    none = F.array().cast("array<string>")
+    shared = F.transform(F.array_intersect(F.coalesce("l_tables", none), F.coalesce("r_tables", none)), lambda x: F.substring_index(x, "\t", 1).cast("double"))
+    mean = F.aggregate(shared, F.lit(0.0), lambda s, x: s + x) / F.size(shared)
+    signals = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(n).alias("name"), w.alias("weight"))) for n, test, w in (
+        ("exact_normalized_label", same("normalized"), F.lit(5.0)),
+        ("character_overlap", ~same("normalized") & (char_jaccard(F.col("l_normalized"), F.col("r_normalized")) >= 0.5), F.lit(2.0)),
+        ("shared_physical_field", same("field"), F.lit(4.0)),
+        ("same_implementation_signature", same("implementation") & (F.col("l_implementation") != ""), F.lit(5.0)),
+        ("shared_dataset", F.arrays_overlap("l_datasets", "r_datasets"), F.lit(1.5)),
+        ("shared_business_table_idf", F.size(shared) > 0, F.round(F.greatest(F.lit(0.2), F.when(F.size(shared) > 0, mean)), 4)),
+    )]))
+    met = met.withColumn("found", signals).withColumn("score", F.round(F.aggregate("found", F.lit(0.0), lambda s, x: s + x["weight"]), 4))
+    return met.filter(F.col("score") >= threshold).select(
+        F.col("l_normalized").alias("left_label"), F.col("l_implementation").alias("left_implementation"), F.col("r_normalized").alias("right_label"), F.col("r_implementation").alias("right_implementation"),
+        F.col("found.name").alias("signals"), "score",
+    )

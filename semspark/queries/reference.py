@@ -398,7 +398,7 @@ def claim_audit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def alignment_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.align_classes(evidence.projection_claims(ReportTables(table(spark, d, "report_structure"))))
+    return evidence.align_classes(evidence.claims_in_context(ReportTables(table(spark, d, "report_structure"))))
 
 
 @query()
