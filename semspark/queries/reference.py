@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sqltext, text
-from ..operators import evidence, graph, ranking
+from ..operators import contract, evidence, graph, ranking
 from ..operators.current import current_rows
 from ..operators.nested import ReportTables
 from ..plans.semantic import Measure, Metric, Request, SemanticModel, Table, cube_request, filter_text
@@ -434,3 +434,9 @@ def contract_violations(spark: SparkSession, d: str) -> DataFrame:
     allowed = F.array(*[F.lit(c) for c in CONTRACT])
     sql = F.get_json_object("response", "$.sql")
     return keys.select("call_id", F.size(F.filter("keys", lambda k: ~F.array_contains(allowed, k))).alias("extra_fields"), F.size(F.array_except(allowed, F.col("keys"))).alias("missing_fields"), sql.isNotNull().alias("has_sql"))
+
+
+@query()
+def contract_findings(spark: SparkSession, d: str) -> DataFrame:
+    """As contract_violations, for every call: fences taken off, the object found in the text, calls without one reported."""
+    return contract.findings(table(spark, d, "query_writer_calls"), "call_id", "response", CONTRACT).withColumnRenamed("key", "call_id")
