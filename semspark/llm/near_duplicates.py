@@ -5,17 +5,20 @@ first), so likeness is Jaccard likeness of sets and two texts of sizes a and b a
 at most (a + b)(1 - t)/(1 + t) items, their difference budget.
 
 1. Items are counted over the whole collection in a table of ``SLOTS`` hash slots (a fixed size, whatever the
-   collection). The counts only fix one common order of items, rarest first; any order gives the same result.
-2. In that order two texts that are alike share their first two common items within the heads of both. A text is
-   signed by each head item whose slot is rare and by each pair of head items that are not, so a pair of texts
-   that shares no signature is not alike. The shorter text's head is shorter, as all its partners are longer.
-3. A signature carries the ring of its text: 128 bits, each the parity of the number of items that hash to it. Bits
-   in which two rings differ are a lower bound of the items in which the texts differ. A pair goes on only if from
-   some segment of the ring on, chains of consecutive segments keep their summed differences within the chain's
-   proportional share of the budget, up to the chain around the whole ring (pigeonring principle).
-4. The pairs left get the exact check on all items.
-
-Exact copies (equal multisets) form one class and are compared once. No cap on partners or candidates is set.
+   collection). The counts only fix one common order of segments, rarest first; any order gives the same result.
+2. Items fall into more segments (boxes, in a ring) than the budget has items, by hash; texts of one band of sizes have
+   the same ring. The differences of the boxes add up to that of the texts. Each text chooses its rarest boxes, one more
+   than its budget. Take, of a pair, the budget + 1 boxes that come first in the order of either text: each may differ in
+   none of its items or the pair would be out of reach, and the pigeonring principle says that from one of them, equal in
+   both texts, each chain of 1, 2, 3 ... consecutive boxes differs in fewer items than it has such boxes. Both texts
+   have chosen that first box, and all such boxes are chosen by one of them.
+3. So the join is keyed on a chosen box and its content, and each pair that meets is tested along the chain that begins
+   there: the differences (at least as many as parity bits of the boxes differ) must stay below the number of chosen
+   boxes at every length up to ``WINDOW`` boxes, or the whole ring where that is shorter.
+4. The pairs left, each once, get the full check on all items.
+
+Exact copies (equal multisets) form one class and are compared once. A box that very many texts may share is cut
+into parts. No cap on partners or candidates is set; any likeness above 0 loses no pair.
 
 Defined results: null, empty and wordless texts are alike to nothing; rows sent twice count once; keys without text
 give no row; an empty table gives an empty result; other columns are not read.
@@ -26,6 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +38,17 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, release
+from ..session import materialise
 
 SLOTS = 1 << 20
-RING = 128  # bits
+WINDOW = 14  # boxes of a chain, in two longs
+EMPTY = 1 << 40  # more than any count
+PARTS = 256  # into which a hot segment is cut at most
+CELLS = 1 << 21  # boxes that a task lays out at once
 ITEM = 6  # bytes kept of an item's hash: two items of a pair of texts are confused once in some 10^10 pairs
 WORD = re.compile(r"\w+")
 CLASS = "class_hi long, class_lo long, size int, items binary"
-SIGNED = ["sig", "class_lo", "size", "short", "ring_a", "ring_b"]
+SIGNED = ["sig", "class_lo", "meta", "ring_a", "ring_b"]
 
 
 def _items(text: str, known: dict[str, list[bytes]]) -> bytes:
@@ -109,85 +116,170 @@ def slot_counts(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _rings(flat: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two longs per text: parities of the numbers of items that hash to each of RING bits."""
-    bit = (flat >> np.uint64(25)) % np.uint64(RING)
-    odd = (np.bincount(owner * RING + bit.astype(np.int64), minlength=n * RING) & 1).astype(np.uint8)
-    longs = np.packbits(odd).view(np.int64).reshape(n, 2)
-    return longs[:, 0], longs[:, 1]
+def _boxes(flat: np.ndarray, owner: np.ndarray, count: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text and box (n x m): a hash of what is in the box, the least count of its items, 8 parity bits of them.
 
-
-def signatures(classes: DataFrame, likeness: float, rare: int, counts: np.ndarray) -> DataFrame:
-    """A row (SIGNED) per signature of a class; short: within the head that it has as the shorter text of a pair."""
+    The box of an item is a matter of the item alone. An empty box costs more than any other.
+    """
+    cell = owner * m + ((flat >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+    mixed = (flat ^ (flat >> np.uint64(23))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(31)
+    order = np.argsort(cell, kind="stable")
+    cells, starts = np.unique(cell[order], return_index=True)
+    content, cost, ring = np.zeros(n * m, np.uint64), np.full(n * m, EMPTY), np.zeros(n * m, np.uint64)
+    if len(cells):
+        content[cells] = np.add.reduceat(mixed[order], starts)
+        cost[cells] = np.minimum.reduceat(count[order], starts)
+        ring[cells] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed[order] >> np.uint64(61)), starts)
+    return content.reshape(n, m), cost.reshape(n, m), ring.reshape(n, m)
+
+
+def _window(values: np.ndarray, at: np.ndarray, box: np.ndarray, bits: int, first: int, boxes: int) -> np.ndarray:
+    """Values of ``boxes`` consecutive boxes of a ring from ``first`` after the start on, one byte or bit each, as a long; no box twice."""
+    m = values.shape[1]
+    out = np.zeros(len(at), np.uint64)
+    for k in range(boxes):
+        if first + k < m:
+            out |= values[at, (box + first + k) % m] << np.uint64(bits * k)
+    return out.astype(np.int64)
+
+
+class Segments:
+    """How texts are cut into segments: bands of sizes with a number of boxes each, and difference budgets."""
+
+    def __init__(self, likeness: float, per_share: float):
+        if not 0 < likeness <= 1:
+            raise ValueError("likeness must be above 0 and at most 1")
+        self.likeness, self.part, self.per_share = likeness, (1 - likeness) / (1 + likeness), per_share
+
+    def budget(self, both: np.ndarray) -> np.ndarray:
+        """Items in which two texts of together ``both`` items may differ."""
+        return np.floor(both * self.part + 1e-9).astype(np.int64)
+
+    def band(self, size: np.ndarray) -> np.ndarray:
+        """Band g holds the sizes from 2**g up to the next power of two."""
+        return np.floor(np.log2(size + 0.5)).astype(np.int64)
+
+    def longest(self, size: np.ndarray) -> np.ndarray:
+        return np.floor(size / self.likeness + 1e-9).astype(np.int64)
+
+    def boxes(self, band: int) -> int:
+        return int(np.ceil(self.per_share * (self.budget(np.array([2.0 ** (band + 2)]))[0] + 1)))
+
+
+def signatures(classes: DataFrame, cut: Segments, counts: np.ndarray, texts: int, hot: int) -> DataFrame:
+    """A row (SIGNED) per chosen segment of a class and band.
+
+    meta: size, roles (1: as the shorter text of a pair, 2: as the longer), then a bit per box of the window: chosen.
+    A segment that more than ``hot`` of the ``texts`` texts may share is cut into parts: as a shorter text a class goes to one of
+    them, as a longer one to all.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(counts)  # SLOTS numbers
 
+    def rows(flat: np.ndarray, size: np.ndarray, lo: np.ndarray, band: int, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, m = len(size), cut.boxes(band)
+        owner = np.repeat(np.arange(n), size)
+        content, cost, ring = _boxes(flat, owner, shared.value[(flat & np.uint64(SLOTS - 1)).astype(np.int64)], n, m)
+        key = (content ^ (np.arange(m, dtype=np.uint64) + np.uint64(band << 40))[None, :]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+        order = np.lexsort((key.ravel(), cost.ravel(), np.repeat(np.arange(n), m)))
+        rank = np.empty(n * m, np.int64)
+        rank[order] = np.tile(np.arange(m), n)
+        rank = rank.reshape(n, m)
+        short = rank <= cut.budget(size + np.minimum(cut.longest(size), 2 ** (band + 1) - 1))[:, None]
+        long = (rank <= cut.budget(2 * size)[:, None]) & own[:, None]
+        at, box = np.nonzero((short | long) & (cost > 1))  # an item alone in its slot is in no other text
+        chosen = (short | long).astype(np.uint64)
+        ring_a, ring_b = _window(ring, at, box, 8, 0, WINDOW // 2), _window(ring, at, box, 8, WINDOW // 2, WINDOW // 2)
+        meta = (size[at].astype(np.int64) << 16) | _window(chosen, at, box, 1, 0, WINDOW)
+        roles = short[at, box].astype(np.int64) + 2 * long[at, box]
+        k = key[at, box]
+        parts = np.minimum(-(-np.minimum(cost[at, box], texts) // hot), PARTS)
+        one = np.arange(len(at))
+        split = parts > 1
+        own_part = (lo[at].view(np.uint64) >> np.uint64(7)) % parts.astype(np.uint64)
+        many = np.repeat(one[split], parts[split])
+        nth = (np.arange(len(many)) - np.repeat(np.cumsum(parts[split]) - parts[split], parts[split])).astype(np.uint64)
+        sets = [(one, np.where(split, own_part, np.uint64(0)), np.where(split, roles & 1, roles)), (many, nth, roles[many] & 2)]
+        for i, part, role in sets:
+            i, part, role = i[role > 0], part[role > 0], role[role > 0]
+            sig = ((k[i] + part * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(8)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, lo[at[i]], meta[i] | (role << 14), ring_a[i], ring_b[i])], SIGNED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = shared.value
         for batch in batches:
-            lo, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            n = len(size)
-            if not n:
+            lo, size, items = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2)
+            if not len(size):
                 continue
-            flat = _hashes(batch.column(2).to_pylist())
-            owner = np.repeat(np.arange(n), size)
-            ring_a, ring_b = _rings(flat, owner, n)
-            c = count[(flat & np.uint64(SLOTS - 1)).astype(np.int64)]
-            order = np.lexsort((flat, c, owner))
-            flat, c = flat[order], c[order]
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            # two more than the items that a text may lack in its partner, so that two common items are inside
-            probe = size - np.ceil(likeness * size - 1e-9).astype(np.int64) + 2
-            index = size - np.ceil(2 * likeness / (1 + likeness) * size - 1e-9).astype(np.int64) + 2
-            head = place < probe[owner]
-            flat, c, place, own = flat[head], c[head], place[head], owner[head]
-            short = place < index[own]
-            seldom = (c <= rare) & (c > 1)  # an item alone in its slot is in no other text
-            sigs, at, first = [flat[seldom]], [own[seldom]], [short[seldom]]
-            often = c > rare
-            f, fo, fs = flat[often], own[often], short[often]
-            for gap in range(1, int(np.bincount(fo, minlength=1).max(initial=0))):
-                same = fo[gap:] == fo[:-gap]
-                sigs.append((f[:-gap] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1) ^ f[gap:])[same])
-                at.append(fo[gap:][same])
-                first.append(fs[gap:][same])
-            sig, at_, short_ = np.concatenate(sigs), np.concatenate(at), np.concatenate(first)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig.view(np.int64) & ((1 << 48) - 1), lo[at_], size[at_], short_, ring_a[at_], ring_b[at_])], SIGNED)
-
-    return classes.select("class_lo", "size", "items").mapInArrow(run, "sig long, class_lo long, size int, short boolean, ring_a long, ring_b long")
-
-
-def pigeonring(a: str, b: str, allowed: Column, segments: int = 4) -> Column:
-    """Whether chains of consecutive segments of two rings, from some segment on, keep their share of the budget."""
-    width = 2 * 64 // segments
-    differ = []
-    for ring in ("ring_a", "ring_b"):
-        x = F.col(f"{a}.{ring}").bitwiseXOR(F.col(f"{b}.{ring}"))
-        differ += [F.bit_count(F.shiftrightunsigned(x, i).bitwiseAND(F.lit((1 << width) - 1))) for i in range(0, 64, width)]
-    some = F.lit(False)
-    for start in range(segments):
-        ok, total = F.lit(True), F.lit(0)
-        for n in range(1, segments):
-            total = total + differ[(start + n - 1) % segments]
-            ok = ok & (total * segments <= allowed * n)
-        some = some | ok
-    return some
-
-
-def ring_difference(a: str, b: str) -> Column:
-    """Bits in which two rings differ: the chain around the whole ring."""
-    return F.bit_count(F.col(f"{a}.ring_a").bitwiseXOR(F.col(f"{b}.ring_a"))) + F.bit_count(F.col(f"{a}.ring_b").bitwiseXOR(F.col(f"{b}.ring_b")))
-
-
-def candidates(signed: DataFrame, likeness: float) -> DataFrame:
-    """(a, b): class_lo of pairs that share a signature and pass the pigeonring filter, each once."""
+            first, last = cut.band(size), cut.band(cut.longest(size))
+            for band in range(int(first.min()), int(last.max()) + 1):
+                inside = np.flatnonzero((first <= band) & (last >= band))
+                step = max(1, CELLS // cut.boxes(band))
+                for i in range(0, len(inside), step):
+                    part = inside[i : i + step]
+                    yield from rows(_hashes(items.take(pa.array(part)).to_pylist()), size[part], lo[part], band, first[part] == band)
+
+    return classes.select("class_lo", "size", "items").mapInArrow(run, "sig long, class_lo long, meta long, ring_a long, ring_b long")
+
+
+def _bytes(x: Column) -> Column:
+    """Each byte of a long replaced by the number of its bits."""
+    x = x - F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(0x55555555555555))
+    x = x.bitwiseAND(F.lit(0x33333333333333)) + F.shiftrightunsigned(x, 2).bitwiseAND(F.lit(0x33333333333333))
+    return (x + F.shiftrightunsigned(x, 4)).bitwiseAND(F.lit(0x0F0F0F0F0F0F0F))
+
+
+def _running(x: Column) -> Column:
+    """Each of 7 bytes replaced by the sum of the bytes up to it."""
+    for by in (8, 16, 32):
+        x = x + F.shiftleft(x, by).bitwiseAND(F.lit(0xFFFFFFFFFFFFFF))
+    return x
+
+
+def _spread(bits: Column) -> Column:
+    """Seven bits as seven bytes."""
+    out = F.lit(0).cast("long")
+    for i in range(WINDOW // 2):
+        out = out + F.shiftleft(F.shiftrightunsigned(bits, i).bitwiseAND(F.lit(1)), 8 * i)
+    return out
+
+
+def chain_kept(a: str, b: str, length: int = WINDOW) -> Column:
+    """Whether, from the shared segment on, each chain of 1, 2, ... ``length`` consecutive segments keeps its share.
+
+    The share of a chain is the number of its segments that either text chose, less one; at least as many items as their
+    parities tell apart differ. All chains of seven segments are tested at once, a byte each.
+    """
+    half = WINDOW // 2
+    chosen = F.col(f"{a}.meta").bitwiseOR(F.col(f"{b}.meta"))
+    ones = 0x01010101010101
+    kept, d_before, u_before = F.lit(True), F.lit(0).cast("long"), F.lit(0).cast("long")
+    for i, ring in enumerate(("ring_a", "ring_b")):
+        lanes = min(max(length - i * half, 0), half)
+        if not lanes:
+            break
+        high = sum(0x80 << (8 * k) for k in range(lanes))
+        d = _running(_bytes(F.col(f"{a}.{ring}").bitwiseXOR(F.col(f"{b}.{ring}")))) + d_before * ones
+        u = _running(_spread(F.shiftrightunsigned(chosen, i * half).bitwiseAND(F.lit(0x7F)))) + u_before * ones
+        # a byte of u - 1 + 128 - d keeps its high bit just when d is at most u - 1; the shared segment makes u at least 1
+        kept = kept & ((u + F.lit(0x7F7F7F7F7F7F7F) - d).bitwiseAND(F.lit(high)) == F.lit(high))
+        d_before, u_before = F.shiftrightunsigned(d, 48), F.shiftrightunsigned(u, 48)
+    return kept
+
+
+def _roles(a: str, b: str) -> Column:
+    """a may be the shorter text and b the longer; written as one test of both, as both sides read the same rows."""
+    ready = F.shiftrightunsigned(F.col(f"{a}.meta"), 14).bitwiseAND(F.shiftrightunsigned(F.col(f"{b}.meta"), 15)).bitwiseAND(F.lit(1)) == 1
+    x, y = F.shiftrightunsigned(F.col(f"{a}.meta"), 16), F.shiftrightunsigned(F.col(f"{b}.meta"), 16)
+    return ready & ((x < y) | ((x == y) & (F.col(f"{a}.class_lo") < F.col(f"{b}.class_lo"))))
+
+
+def met(signed: DataFrame, likeness: float, length: int = WINDOW) -> DataFrame:
+    """(a, b): class_lo of pairs that share a segment and keep the chains of up to ``length`` segments from there on."""
     a, b = signed.alias("a"), signed.alias("b")
-    # written as a test of both sides, as both read the same rows
-    reach = F.when(F.col("a.short"), F.col("a.size")).otherwise(F.lit(1 << 30))
-    order = (reach < F.col("b.size")) | ((reach == F.col("b.size")) & (F.col("a.class_lo") < F.col("b.class_lo")))
-    seen = (F.col("a.sig") == F.col("b.sig")) & order & (F.col("a.short") | F.col("b.short"))
-    allowed = F.floor((F.col("a.size") + F.col("b.size")) * F.lit((1 - likeness) / (1 + likeness)) + 1e-9).cast("int")
-    on = seen & (F.col("a.size") >= F.col("b.size") * likeness - 1e-9) & (ring_difference("a", "b") <= allowed) & pigeonring("a", "b", allowed)
-    return a.join(b, on).select(F.col("a.class_lo").alias("a"), F.col("b.class_lo").alias("b")).distinct()
+    x, y = F.shiftrightunsigned(F.col("a.meta"), 16), F.shiftrightunsigned(F.col("b.meta"), 16)
+    on = (F.col("a.sig") == F.col("b.sig")) & _roles("a", "b") & (x >= y * F.lit(likeness) - 1e-9)
+    return a.join(b, on & chain_kept("a", "b", length) if length else on).select(F.col("a.class_lo").alias("a"), F.col("b.class_lo").alias("b"))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, likeness: float) -> DataFrame:
@@ -211,36 +303,69 @@ def verified(pairs: DataFrame, classes: DataFrame, likeness: float) -> DataFrame
 class NearDuplicates:
     """Classes of equal multisets, and the pairs of classes that are at least ``likeness`` alike.
 
-    rare: up to how many items in its slot a head item signs alone; it moves work between single items and pairs of
-    items and does not change the result.
+    per_share: boxes per item of the budget (above 1); hot: how many texts may share a box before it is cut into parts.
+    Both move work and do not change the result.
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str, likeness: float = 0.8, rare: int = 150):
+    def __init__(self, df: DataFrame, key: str, text: str, likeness: float = 0.8, per_share: float = 1.5, hot: int = 20_000):
         self.parts = parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.likeness, self.cut, self.hot = likeness, Segments(likeness, per_share), hot
         rows = word_multisets(df, key, text).persist(StorageLevel.MEMORY_AND_DISK)
-        self.keys = rows.select("key", "class_hi", "class_lo").distinct()
+        self.keys = materialise(rows.select("key", "class_hi", "class_lo").distinct(), "members")
         classes = rows.filter("items IS NOT NULL").drop("key").repartition(parts, "class_lo").dropDuplicates(["class_lo", "class_hi"])
-        self.classes = classes.persist(StorageLevel.MEMORY_AND_DISK)
-        self.likeness, self.rare = likeness, rare
+        self.classes = materialise(classes, "classes")
+        rows.unpersist()
+
+    def signed(self) -> DataFrame:
+        return signatures(self.classes, self.cut, slot_counts(self.classes), self.classes.count(), self.hot)
 
+    @cached_property
     def class_pairs(self) -> DataFrame:
-        """(a_hi, a_lo, b_hi, b_lo); what each step shuffled is released when its result is written."""
-        spark = self.classes.sparkSession
-        counts = slot_counts(self.classes)
-        signed = signatures(self.classes, self.likeness, self.rare, counts).repartition(self.parts, "sig").persist(StorageLevel.MEMORY_AND_DISK)
-        pairs = materialise(candidates(signed, self.likeness), "candidates")  # both sides of the join read the one exchange
+        """(a_hi, a_lo, b_hi, b_lo), each pair once."""
+        signed = self.signed().repartition(self.parts, "sig").persist(StorageLevel.MEMORY_AND_DISK)  # both sides of the join read the one exchange
+        pairs = materialise(met(signed, self.likeness).distinct(), "candidates")
         signed.unpersist()
-        del signed
-        release(spark)
-        pairs = materialise(verified(pairs, self.classes, self.likeness), "class_pairs")
-        release(spark)
-        return pairs
-
-    def key_pairs(self) -> DataFrame:
-        """(key_a, key_b), key_a < key_b: all pairs of keys with texts alike, copies included."""
+        return materialise(verified(pairs, self.classes, self.likeness), "class_pairs")
+
+    def funnel(self) -> list[tuple[str, int]]:
+        """Pairs that share a segment, those left after chains of each length, distinct ones and those that are alike."""
+        signed = materialise(self.signed(), "signed")
+        out = [("shared segment", met(signed, self.likeness, 0).count())]
+        out += [(f"chains of {n}", met(signed, self.likeness, n).count()) for n in range(2, WINDOW + 1)]
+        return [*out, ("distinct", met(signed, self.likeness).distinct().count()), ("alike", self.class_pairs.count())]
+
+    def members(self) -> DataFrame:
+        """(key, class_key, copies, links): the least key of the class, its number of keys, and keys alike to the key.
+
+        A key with several texts has a row for each class.
+        """
+        own = self.keys.groupBy("class_hi", "class_lo").agg(F.min("key").alias("class_key"), F.count("*").alias("copies"))
+        pairs = self.class_pairs
+        both = pairs.unionByName(pairs.select(F.col("b_hi").alias("a_hi"), F.col("b_lo").alias("a_lo"), F.col("a_hi").alias("b_hi"), F.col("a_lo").alias("b_lo")))
+        there = both.join(own.select(F.col("class_hi").alias("b_hi"), F.col("class_lo").alias("b_lo"), "copies"), ["b_hi", "b_lo"])
+        links = there.groupBy(F.col("a_hi").alias("class_hi"), F.col("a_lo").alias("class_lo")).agg(F.sum("copies").alias("linked"))
+        classes = own.join(links, ["class_hi", "class_lo"], "left")
+        return self.keys.join(classes, ["class_hi", "class_lo"]).select("key", "class_key", "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"))
+
+    def class_links(self) -> DataFrame:
+        """(class_a, class_b): the pairs of classes by their least keys, class_a < class_b."""
+        own = self.keys.groupBy("class_hi", "class_lo").agg(F.min("key").alias("class_key"))
+        a, b = (own.select(F.col("class_hi").alias(f"{s}_hi"), F.col("class_lo").alias(f"{s}_lo"), F.col("class_key").alias(s)) for s in "ab")
+        both = self.class_pairs.join(a, ["a_hi", "a_lo"]).join(b, ["b_hi", "b_lo"])
+        return both.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"))
+
+    def key_pairs(self, wide: int = 2000) -> DataFrame:
+        """(key_a, key_b), key_a < key_b: all pairs of keys with texts alike, copies included.
+
+        A class of more than ``wide`` keys is cut into parts of its left side, each of which meets all of its right side.
+        """
         keys = self.keys
         copied = keys.groupBy("class_hi", "class_lo").agg(F.count("*").alias("n")).filter("n > 1")
-        pairs = self.class_pairs().unionByName(copied.select(*[F.col(f"class_{p}").alias(f"{s}_{p}") for s in "ab" for p in ("hi", "lo")]))
+        parts = copied.filter(F.col("n") > wide).select(F.col("class_hi").alias("b_hi"), F.col("class_lo").alias("b_lo"), F.least(F.ceil(F.col("n") / wide), F.lit(PARTS)).cast("int").alias("parts"))
+        pairs = self.class_pairs.unionByName(copied.select(*[F.col(f"class_{p}").alias(f"{s}_{p}") for s in "ab" for p in ("hi", "lo")]))
         a, b = (keys.select(F.col("key").alias(f"key_{s}"), F.col("class_hi").alias(f"{s}_hi"), F.col("class_lo").alias(f"{s}_lo")) for s in "ab")
-        both = pairs.join(a, ["a_hi", "a_lo"]).join(b, ["b_hi", "b_lo"]).filter("key_a <> key_b")
+        part = F.pmod(F.xxhash64("key_a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+        left = pairs.join(parts, ["b_hi", "b_lo"], "left").join(a, ["a_hi", "a_lo"]).select("key_a", "b_hi", "b_lo", part)
+        right = b.join(parts, ["b_hi", "b_lo"], "left").select("key_b", "b_hi", "b_lo", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        both = left.join(right, ["b_hi", "b_lo", "part"]).filter("key_a <> key_b")
         return both.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()

@@ -28,6 +28,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(_statements(spark, d), "key", "text").key_pairs()
 
 
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each key with the least key of its class of equal multisets, the class's keys and the keys alike to it."""
+    return NearDuplicates(_statements(spark, d), "key", "text").members()
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of classes that are alike, by their least keys."""
+    return NearDuplicates(_statements(spark, d), "key", "text").class_links()
+
+
 def _posteriors(spark: SparkSession, d: str) -> DataFrame:
     return defect_posteriors(answer_facts(table(spark, d, "query_writer_calls"), "call_id", "question", "response"))
 
@@ -93,5 +103,22 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return shares.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("share"), 3).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_labels, p6_percentiles, p6_load_percentiles, p8_ids, p9_packing, p9_containers, p10_found, p10_composition)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_found, p4_members, p4_classes, p5_found, p5_labels, p6_percentiles, p6_load_percentiles, p8_ids, p9_packing, p9_containers, p10_found, p10_composition)}
+#: Every pair of classes with a word in common, counted in full.
+_LIKE = """
+WITH raw AS (SELECT node_id AS key, query AS text FROM nodes UNION ALL SELECT attempt_id, sql_text FROM generation_attempts),
+texts AS (SELECT DISTINCT key, list_sort(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS words FROM raw WHERE key IS NOT NULL AND text IS NOT NULL),
+keys AS (SELECT key, words FROM texts WHERE len(words) > 0),
+classes AS (SELECT row_number() OVER (ORDER BY min(key)) AS id, words, min(key) AS class_key, count(*) AS copies, len(words) AS size FROM keys GROUP BY words),
+bags AS (SELECT id, size, w, count(*) AS n FROM (SELECT id, size, unnest(words) AS w FROM classes) GROUP BY ALL),
+common AS (SELECT a.id AS a, b.id AS b, a.size AS sa, b.size AS sb, sum(least(a.n, b.n)) AS s FROM bags a JOIN bags b ON a.w = b.w AND a.id < b.id AND a.size >= 0.8 * b.size AND b.size >= 0.8 * a.size GROUP BY ALL),
+alike AS (SELECT a, b FROM common WHERE s * 10 >= 8 * (sa + sb - s)),
+members AS (SELECT k.key, c.id, c.class_key, c.copies FROM keys k JOIN classes c ON k.words = c.words)
+"""
+SQL: dict[str, str] = {
+    "p4_found": _LIKE + """SELECT DISTINCT least(x.key, y.key) AS key_a, greatest(x.key, y.key) AS key_b
+FROM (SELECT a, b FROM alike UNION ALL SELECT id, id FROM classes WHERE copies > 1) p JOIN members x ON x.id = p.a JOIN members y ON y.id = p.b WHERE x.key <> y.key""",
+    "p4_classes": _LIKE + "SELECT least(x.class_key, y.class_key) AS class_a, greatest(x.class_key, y.class_key) AS class_b FROM alike p JOIN classes x ON x.id = p.a JOIN classes y ON y.id = p.b",
+    "p4_members": _LIKE + """, linked AS (SELECT p.a AS id, sum(c.copies)::BIGINT AS n FROM (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike) p JOIN classes c ON c.id = p.b GROUP BY 1)
+SELECT m.key, m.class_key, m.copies, coalesce(l.n, 0) + m.copies - 1 AS links FROM members m LEFT JOIN linked l ON l.id = m.id""",
+}

@@ -47,15 +47,39 @@ def mixed():
     return data
 
 
-@pytest.mark.parametrize("rare", [150, 3, 0])
-def test_agrees_with_brute_force(spark, rare):
+@pytest.mark.parametrize("knobs", [{}, {"hot": 1}, {"per_share": 1.01, "hot": 3}, {"per_share": 4.0}])
+def test_agrees_with_brute_force(spark, knobs):
     data = mixed()
-    assert pairs(spark, data, rare=rare) == brute(data)
+    assert pairs(spark, data, **knobs) == brute(data)
 
 
-def test_other_likeness(spark):
-    data = mixed()
-    assert pairs(spark, data, likeness=0.6) == brute(data, 0.6)
+@pytest.mark.parametrize("likeness", [1.0, 0.6, 0.5, 0.3])
+def test_other_likeness(spark, likeness):
+    data = mixed() + [(f"c{i:03}", f"common x{i}") for i in range(202)] + [("d", "common")]
+    assert pairs(spark, data, likeness=likeness) == brute(data, likeness)
+
+
+def test_likeness_out_of_range(spark):
+    with pytest.raises(ValueError):
+        pairs(spark, [("a", "x")], likeness=0.0)
+
+
+def test_chains_reject_pairs_that_share_a_segment_and_lose_none(spark):
+    data = mixed() + [(f"s{i}", " ".join(f"u{(i * 7 + j * j) % 97}" for j in range(36)) + " select from where and group by") for i in range(120)]
+    n = NearDuplicates(spark.createDataFrame([(*r, 1, 1, 1, "clash") for r in data], SCHEMA), "key", "text")
+    steps = dict(n.funnel())
+    left = [steps["shared segment"], *[steps[f"chains of {k}"] for k in range(2, 15)]]
+    assert left == sorted(left, reverse=True) and left[1] < left[0] and left[-1] < left[1]
+    assert steps["distinct"] >= steps["alike"] > 0
+    assert {tuple(r) for r in n.key_pairs().collect()} == brute(data)
+
+
+def test_wide_classes_are_cut_and_whole(spark):
+    data = [(f"k{i:02}", "select a from t") for i in range(40)] + [("x", "select a from t t")]
+    n = NearDuplicates(spark.createDataFrame([(*r, 1, 1, 1, "clash") for r in data], SCHEMA), "key", "text")
+    assert {tuple(r) for r in n.key_pairs(wide=3).collect()} == brute(data)
+    assert {tuple(r) for r in n.members().collect()} == {(f"k{i:02}", "k00", 40, 40) for i in range(40)} | {("x", "x", 1, 40)}
+    assert [tuple(r) for r in n.class_links().collect()] == [("k00", "x")]
 
 
 def test_long_texts_and_saturated_words(spark):
