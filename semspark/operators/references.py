@@ -1,10 +1,9 @@
 """References to records that do not exist: probing sorted parent arrays, range by range.
 
-Parents are cut into key ranges. Each range holds its keys as one sorted array and, per key, its periods of
-validity as disjoint sorted intervals; a batch of references is probed by binary search, first for the key, then for
-the interval in which its date falls. Where the parents are few (counted, at most ``few``) every task holds all
-ranges and references are not moved. Beyond that, references meet the arrays of their range in a co-group; a range
-that many references hit is cut into as many parts as its measured count asks for.
+Parents are cut into key ranges by bounds from a sample of fixed size. Each range holds its keys as one sorted array and,
+per key, its periods of validity as disjoint sorted intervals. References are cut by the same bounds and meet the arrays
+of their range in a co-group, where each batch is probed by binary search, first for the key, then for the interval in
+which its date falls. A range that many references hit is cut into as many parts as its measured count asks for.
 
 Defined results: null and blank references are no references; a reference with an unknown date is only ever
 ``missing``; parents without a key are ignored, a parent without a start is never in force; rows sent twice count
@@ -13,23 +12,25 @@ once; empty tables give no row (without parents every reference is ``missing``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import loose_code
+from ..session import materialise
 
 FOREVER = 1 << 30  # a day after every date
+RANGES = 4096  # at most; the keys of a range grow beyond that
+PER_BOUND = 20  # sampled keys per range
 REASONS = np.array([None, "missing", "later", "deleted"], dtype=object)
 
 
 def parent_ranges(parents: DataFrame, key: str, start: str, end: str, per_range: int = 4096) -> tuple[DataFrame, list[str]]:
     """Rows (range, key, first, starts, ends) with one row per key, and the lower bounds of the ranges.
 
-    first: the day of the earliest start. starts, ends: days of the key's merged intervals, sorted.
+    first: the day of the earliest start. starts, ends: days of the key's merged intervals, sorted. The bounds come from
+    the PER_BOUND * ranges keys of the least hashes, at most PER_BOUND * RANGES keys however many parents there are.
     """
     day = lambda c: F.unix_date(F.col(c).cast("date"))
     rows = parents.select(loose_code(F.col(key)).alias("key"), day(start).alias("s"), F.coalesce(day(end), F.lit(FOREVER)).alias("e")).filter("key IS NOT NULL").distinct()
@@ -41,13 +42,12 @@ def parent_ranges(parents: DataFrame, key: str, start: str, end: str, per_range:
         F.array().cast("array<struct<s:int,e:int>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1))["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    keys = grouped.withColumn("spans", merged).select("key", "first", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"))
-    n = keys.count()
-    cuts = max(1, -(-n // per_range))
+    keys = materialise(grouped.withColumn("spans", merged).select("key", "first", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends")), "parents")
+    cuts = min(RANGES, max(1, -(-keys.count() // per_range)))
     bounds: list[str] = []
-    if cuts > 1:  # as many bounds as ranges, from a sample; they decide only which range a key goes to
-        sample = keys.select("key").sample(min(1.0, 100 * cuts / n), seed=7).orderBy("key").toPandas()["key"].tolist()
-        bounds = sorted(set(sample[i * len(sample) // cuts] for i in range(1, cuts))) if len(sample) >= cuts else []
+    if cuts > 1:  # they decide only which range a key goes to
+        sample = sorted(r["key"] for r in keys.select("key").orderBy(F.xxhash64("key"), "key").limit(PER_BOUND * cuts).collect())
+        bounds = sorted({sample[i * len(sample) // cuts] for i in range(1, cuts)})
     return keys.withColumn("range", range_of(F.col("key"), bounds)), bounds
 
 
@@ -93,43 +93,29 @@ class RangeArrays:
         return out
 
 
-def find_orphans(refs: DataFrame, code: str, date: str, parents: DataFrame, parent_code: str, start: str, end: str, few: int = 200_000, part_rows: int = 250_000, per_range: int = 4096) -> DataFrame:
+def find_orphans(refs: DataFrame, code: str, date: str, parents: DataFrame, parent_code: str, start: str, end: str, part_rows: int = 150_000, per_range: int = 4096) -> DataFrame:
     """The rows of ``refs`` whose code points to no parent in force on their date, with a column ``reason``.
 
     missing: no parent has the code. later: the date precedes every start. deleted: any other. Columns of ``refs``
-    named reason, range, part, _key or _day are left out.
+    named reason, range, part, width, _key or _day are left out. A task holds at most the arrays of a range and about
+    ``part_rows`` references.
     """
-    refs = refs.select(*[c for c in refs.columns if c not in ("reason", "range", "part", "_key", "_day")])
+    refs = refs.select(*[c for c in refs.columns if c not in ("reason", "range", "part", "width", "_key", "_day")])
     keys, bounds = parent_ranges(parents, parent_code, start, end, per_range)
     tagged = refs.withColumns({"_key": loose_code(F.col(code)), "_day": F.unix_date(F.col(date).cast("date"))}).filter("_key IS NOT NULL")
+    ranged = materialise(tagged.withColumn("range", range_of(F.col("_key"), bounds)), "references")
     out = refs.schema.names
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in refs.schema.fields), "reason string"])
+    widths = F.broadcast(ranged.groupBy("range").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("width")))  # a row per range, at most RANGES
+    part = F.pmod(F.monotonically_increasing_id(), F.col("width")).cast("int")  # of files already written, so the same again in a second try
+    left = ranged.join(widths, "range").withColumn("part", part)
+    right = keys.join(widths, "range").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).select("range", "part", "key", "first", "starts", "ends")
 
-    def probed(arrays: RangeArrays, batch: pd.DataFrame) -> pd.DataFrame:
+    def meet(batch: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         known = batch["_day"].notna().to_numpy()
-        found = arrays.probe(batch["_key"].to_numpy(dtype=object), batch["_day"].fillna(0).to_numpy(dtype=np.int64), known)
+        found = RangeArrays(own).probe(batch["_key"].to_numpy(dtype=object), batch["_day"].fillna(0).to_numpy(dtype=np.int64), known)
         return batch.loc[found > 0, out].assign(reason=REASONS[found[found > 0]])
 
-    if keys.limit(few + 1).count() <= few:
-        small = keys.select("key", "first", "starts", "ends").toPandas()  # at most `few` rows
-
-        def everywhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            arrays = RangeArrays(small)
-            for batch in batches:
-                yield probed(arrays, batch)
-
-        return tagged.mapInPandas(everywhere, schema)
-
-    ranged = tagged.withColumn("range", range_of(F.col("_key"), bounds))
-    parts = {r["range"]: -(-r["count"] // part_rows) for r in ranged.groupBy("range").count().collect()}  # a row per range
-    spread = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]) if parts else F.create_map(F.lit(0), F.lit(1))
-    width = F.coalesce(F.try_element_at(spread, F.col("range")), F.lit(1))
-    left = ranged.withColumn("part", F.pmod(F.xxhash64(*[c for c in ranged.columns]), width).cast("int"))
-    right = keys.withColumn("part", F.explode(F.sequence(F.lit(0), width - 1))).select("range", "part", "key", "first", "starts", "ends")
-
-    def meet(batch: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        return probed(RangeArrays(own), batch)
-
     return left.groupBy("range", "part").cogroup(right.groupBy("range", "part")).applyInPandas(meet, schema)
 
 
