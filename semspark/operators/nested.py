@@ -17,6 +17,7 @@ from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -27,6 +28,14 @@ LISTS = ["report_path_segments", "components", "sql_list", "queries", "physical_
 BATCH = 50_000
 
 
+class _Number(str):
+    """A number as it is written, so that long ones keep all their digits."""
+
+
+def _not_json(name: str) -> None:
+    raise ValueError(name)
+
+
 def _kind(value: object) -> str:
     if value is None:
         return "null"
@@ -36,6 +45,8 @@ def _kind(value: object) -> str:
         return "array"
     if isinstance(value, bool):
         return "boolean"
+    if isinstance(value, _Number):
+        return "number"
     return "string" if isinstance(value, str) else "number"
 
 
@@ -44,9 +55,9 @@ def _nodes(text: str | None, decode: int) -> list[tuple]:
     value: object = text
     try:
         for _ in range(decode):
-            if not isinstance(value, str):
+            if not isinstance(value, str) or isinstance(value, _Number):
                 break
-            value = json.loads(value)
+            value = json.loads(value, parse_float=_Number, parse_int=_Number, parse_constant=_not_json)
     except (ValueError, RecursionError):
         return []
     rows, todo = [], [(value, 0, None, 1)]
@@ -60,7 +71,9 @@ def _nodes(text: str | None, decode: int) -> list[tuple]:
             todo.extend((v, node, None, i) for i, v in enumerate(value, 1))
         elif kind == "string":
             scalar = value.encode("utf-8", "replace").decode()
-        elif kind != "null":
+        elif kind == "number":
+            scalar = str(value)
+        elif kind == "boolean":
             scalar = json.dumps(value)
         rows.append((node, parent, label and label.encode("utf-8", "replace").decode(), ordinal, kind, scalar))
     return rows
@@ -121,9 +134,16 @@ class ReportTables:
     def __init__(self, records: DataFrame):
         rows = records.select("record_id", "report_id", "exported_at", "doc_json").filter(F.col("doc_json").isNotNull()).distinct()
         rows = rows.withColumn("version", F.xxhash64("report_id", "exported_at", "doc_json"))
+        self._rows = rows
         self.nodes = materialise(shred(rows, ["record_id", "version", "report_id"], "doc_json"), "report_nodes")
         self.elements = materialise(list_elements(self.nodes, self.KEYS, LISTS), "report_elements")
 
+    @cached_property
+    def records(self) -> DataFrame:
+        """(record_id, version, report_id, exported_at, copy_no): copy_no counts the records that share the other three, from 1, in the order of their SHA-256."""
+        same = W.partitionBy("record_id", "report_id", "exported_at").orderBy("digest")
+        return materialise(self._rows.select(*self.KEYS, "report_id", "exported_at", F.sha2("doc_json", 256).alias("digest")).withColumn("copy_no", F.row_number().over(same)).drop("digest"), "records")
+
     @cached_property
     def _reports(self) -> DataFrame:
         """The report object of each record: at the top, or under the record's report id."""
@@ -173,7 +193,10 @@ class ReportTables:
         return e.join(owners, [*self.KEYS, "owner"]).select(*self.KEYS, "component_no", "statement_no", F.col("place").alias("item_no"), F.col("item").alias("node"), F.col("scalar").alias("table_name"))
 
     def places(self) -> DataFrame:
-        """record_id, node_kind, component_no, statement_no, item_no: one row for each segment, component, statement and table."""
+        """record_id, node_kind, component_no, statement_no, item_no: one row for each segment, component, statement and table.
+
+        Records of one record_id share their places; the entity tables keep them apart.
+        """
         zero = F.lit(0)
 
         def rows(df: DataFrame, kind: str, *at: Column) -> DataFrame:
@@ -185,15 +208,34 @@ class ReportTables:
             out = out.unionByName(part)
         return out.distinct()
 
+    def table(self, rows: DataFrame, *columns: str | Column) -> DataFrame:
+        """``rows`` with the record that holds them: record_id, report_id, exported_at and, where several records share these, copy_no."""
+        return rows.join(self.records, self.KEYS).select("record_id", "report_id", "exported_at", "copy_no", *columns)
+
+
+def report_table(t: ReportTables) -> DataFrame:
+    """A row per report: record_id, report_id, exported_at, copy_no, report_path, status."""
+    return t.table(entity(t.reports(), t.nodes, t.KEYS, ["report_path", "status"]), "report_path", "status")
+
+
+def segment_table(t: ReportTables) -> DataFrame:
+    """A row per path segment: its record, item_no, segment (null where it is no scalar)."""
+    return t.table(t.segments(), "item_no", "segment")
+
 
 def component_table(t: ReportTables) -> DataFrame:
-    """record_id, component_no, component_name, dataset_path, dataset_status."""
+    """A row per component: its record, component_no, component_name, dataset_path, dataset_status."""
     own = entity(t.components(), t.nodes, t.KEYS, ["component_name"]).drop("node")
     data = entity(t.datasets(), t.nodes, t.KEYS, ["dataset_path", "status"]).drop("node").withColumnRenamed("status", "dataset_status")
-    return own.join(data, [*t.KEYS, "component_no"], "left").drop("version")
+    return t.table(own.join(data, [*t.KEYS, "component_no"], "left"), "component_no", "component_name", "dataset_path", "dataset_status")
 
 
 def statement_table(t: ReportTables) -> DataFrame:
-    """record_id, component_no, statement_no, sql, occurrence_count."""
+    """A row per statement: its record, component_no, statement_no, sql, occurrence_count."""
     rows = entity(t.statements(), t.nodes, t.KEYS, ["sql", "occurrence_count"])
-    return rows.select("record_id", "component_no", "statement_no", F.coalesce("sql", "text").alias("sql"), F.expr("try_cast(occurrence_count AS bigint)").alias("occurrence_count"))
+    return t.table(rows, "component_no", "statement_no", F.coalesce("sql", "text").alias("sql"), F.expr("try_cast(occurrence_count AS bigint)").alias("occurrence_count"))
+
+
+def physical_table_table(t: ReportTables) -> DataFrame:
+    """A row per physical table: its record, component_no, statement_no, item_no, table_name (null where it is no scalar)."""
+    return t.table(t.physical_tables(), "component_no", "statement_no", "item_no", "table_name")

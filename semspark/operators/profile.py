@@ -2,7 +2,9 @@
 
 Checks are declared as ``ColumnSpec``. All of them compile into a single scan that groups by load and by the value of
 one column at a time (grouping sets): the state of a load is a table (group, load, column, value, n, bad), and states
-of two parts of a load, or of loads that came on two days, merge by adding n and bad. Numeric columns are held in
+of two parts of a load, or of loads that came on two days, merge by adding n and bad. ``save_states`` keeps the states of
+each part of the rows (a day or month of arrival) in a folder of its own, so that a part that comes or comes again is the
+only one read; ``saved_states`` merges them. A state holds every text of a column, as exact shares need. Numeric columns are held in
 buckets of nearly equal values, which narrow the exact median down to one bucket; only that bucket is read again. The
 ends of a bucket merge as least and greatest; exact values and distinct counts of numbers need a count of their own.
 
@@ -58,14 +60,16 @@ def bucket(value: Column) -> Column:
     return F.when(value < 0, -F.floor(size) - 1).otherwise(F.floor(size)).cast("bigint")
 
 
-def load_states(df: DataFrame, feed: str, load: str, specs: list[ColumnSpec]) -> DataFrame:
+def load_states(df: DataFrame, feed: str, load: str, specs: list[ColumnSpec], part: Column | None = None) -> DataFrame:
     """State table (feed, load, column_name, value, bucket, n, bad, low, high) of all columns in one scan.
 
+    With ``part``, a state for each part of a load, in a last column part.
+
     low and high are the least and greatest number of a bucket; null for texts, whose states hold the value itself.
     """
     texts, numbers = [s for s in specs if not s.numeric], [s for s in specs if s.numeric]
     rows = df.filter(F.col(load).isNotNull()).select(
-        F.col(feed).alias("feed"), F.col(load).alias("load"),
+        F.col(feed).alias("feed"), F.col(load).alias("load"), (F.lit("") if part is None else F.coalesce(part.cast("string"), F.lit(""))).alias("part"),
         *[F.col(s.name).cast("string").alias(f"t_{s.name}") for s in texts],
         *[_number(F.col(s.name)).alias(f"x_{s.name}") for s in numbers],
     )
@@ -75,8 +79,8 @@ def load_states(df: DataFrame, feed: str, load: str, specs: list[ColumnSpec]) ->
     order = texts + numbers
     # the measured number of a row must not be among the grouping columns, so its constraint is tested before
     rows = rows.withColumns({f"bad_{s.name}": s.bad(F.col(f"x_{s.name}")).cast("bigint") for s in numbers})
-    sets = [[F.col("feed"), F.col("load"), F.col(k)] for k in keys]
-    total = rows.groupingSets(sets, F.col("feed"), F.col("load"), *[F.col(k) for k in keys])
+    sets = [[F.col("feed"), F.col("load"), F.col("part"), F.col(k)] for k in keys]
+    total = rows.groupingSets(sets, F.col("feed"), F.col("load"), F.col("part"), *[F.col(k) for k in keys])
     ends = [f(f"x_{s.name}").alias(f"{k}_{s.name}") for s in numbers for k, f in (("low", F.min), ("high", F.max))]
     agg = total.agg(F.count("*").alias("n"), *[F.sum(f"bad_{s.name}").alias(f"sum_{s.name}") for s in numbers], *ends, *[F.grouping(k).alias(f"g_{k}") for k in keys])
     name = F.coalesce(*[F.when(F.col(f"g_{k}") == 0, F.lit(s.name)) for k, s in zip(keys, order, strict=True)])
@@ -88,7 +92,7 @@ def load_states(df: DataFrame, feed: str, load: str, specs: list[ColumnSpec]) ->
         F.lit(0),
     )
     end = lambda k: F.coalesce(*[F.when(F.col(f"g_b_{s.name}") == 0, F.col(f"{k}_{s.name}")) for s in numbers], F.lit(None).cast("double")).alias(k)
-    return agg.select("feed", "load", name.alias("column_name"), value.alias("value"), where.alias("bucket"), "n", bad.cast("bigint").alias("bad"), end("low"), end("high"))
+    return agg.select("feed", "load", name.alias("column_name"), value.alias("value"), where.alias("bucket"), "n", bad.cast("bigint").alias("bad"), end("low"), end("high"), *([] if part is None else ["part"]))
 
 
 def merge_states(*states: DataFrame) -> DataFrame:
@@ -99,6 +103,18 @@ def merge_states(*states: DataFrame) -> DataFrame:
     return out.groupBy("feed", "load", "column_name", "value", "bucket").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+def save_states(df: DataFrame, feed: str, load: str, specs: list[ColumnSpec], part: Column, path: str) -> None:
+    """Write the states of the parts that ``df`` holds to ``path``; parts that are there already are replaced, others stay."""
+    states = load_states(df, feed, load, specs, part).withColumn("part", F.when(F.col("part") != "", F.col("part")))
+    states.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("part").parquet(path)
+
+
+def saved_states(df: DataFrame, feed: str, load: str, specs: list[ColumnSpec], path: str) -> DataFrame:
+    """The merged states of all parts at ``path``; ``df`` gives the types of feed and load only."""
+    schema = load_states(df.limit(0), feed, load, specs).schema
+    return merge_states(df.sparkSession.read.schema(schema).parquet(path))
+
+
 def load_metrics(states: DataFrame) -> DataFrame:
     """Per load and column: n, nulls, filled, distinct_values (texts only), bad."""
     null = F.col("value").isNull() & F.col("bucket").isNull()

@@ -10,13 +10,21 @@ from ..operators import nested, profile
 from ..operators.current import current_rows, union_all
 from ..operators.references import find_orphans, orphans_by_period
 from ..operators.rolling import rolling_totals
-from ..session import materialise, table
+from ..session import materialise, shared_path, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.ReportTables(table(spark, d, "report_structure")).places()
 
 
+def p1_reports(spark: SparkSession, d: str) -> DataFrame:
+    return nested.report_table(nested.ReportTables(table(spark, d, "report_structure")))
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    return nested.segment_table(nested.ReportTables(table(spark, d, "report_structure")))
+
+
 def p1_components(spark: SparkSession, d: str) -> DataFrame:
     return nested.component_table(nested.ReportTables(table(spark, d, "report_structure")))
 
@@ -25,6 +33,10 @@ def p1_statements(spark: SparkSession, d: str) -> DataFrame:
     return nested.statement_table(nested.ReportTables(table(spark, d, "report_structure")))
 
 
+def p1_physical_tables(spark: SparkSession, d: str) -> DataFrame:
+    return nested.physical_table_table(nested.ReportTables(table(spark, d, "report_structure")))
+
+
 def _references(spark: SparkSession, d: str) -> DataFrame:
     new = current_rows(table(spark, d, "device_orders"), "order_id", ["loaded_at", "load_id"], ["product_code", "order_date"])
     old = table(spark, d, "deprecated_device_orders").select("order_id", "product_code", "order_date").distinct()
@@ -52,7 +64,10 @@ SPECS = [
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
-    return materialise(profile.load_states(table(spark, d, "device_orders"), "feed_code", "load_id", SPECS), "load_states")
+    """States kept by month of arrival and merged."""
+    rows, path = table(spark, d, "device_orders"), shared_path(spark, "load_states")
+    profile.save_states(rows, "feed_code", "load_id", SPECS, F.date_format("loaded_at", "yyyyMM"), path)
+    return materialise(profile.saved_states(rows, "feed_code", "load_id", SPECS, path), "merged_states")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +98,7 @@ def p3_control_limits(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("feed").alias("feed_code"), F.col("load").alias("load_id"), "column_name", "metric", F.round("figure", 6).alias("figure"), F.round("mean", 6).alias("mean"), "out_of_control")
 
 
-def _rolling(spark: SparkSession, d: str, each_day: bool = False) -> DataFrame:
+def _rolling(spark: SparkSession, d: str, each_day: bool = True) -> DataFrame:
     rows = current_rows(table(spark, d, "device_orders"), "order_id", ["loaded_at", "load_id"], ["org_code", "order_date", "order_amount", "profit_amount"])
     return rolling_totals(rows.withColumn("org_code", loose_code(F.col("org_code"))), "org_code", "order_date", ["order_amount", "profit_amount"], each_day=each_day)
 
@@ -99,15 +114,20 @@ def _rounded(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def p7_rolling(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_rolling(spark, d), "day_key", "through_key")
+    return _rounded(_rolling(spark, d), "day_key")
 
 
 def p7_days(spark: SparkSession, d: str) -> DataFrame:
-    """As p7_rolling, with a row for each day."""
-    return _rounded(_rolling(spark, d, each_day=True), "day_key")
+    """Another name of p7_rolling."""
+    return p7_rolling(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_components, p1_statements, p2_found, p2_by_period, p3_found, p3_profile, p3_ranges, p3_values, p3_control_limits, p7_found, p7_rolling, p7_days)}
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The short form: the days of a long silence, all figures nought, are one row from day_key to through_key."""
+    return _rounded(_rolling(spark, d, each_day=False), "day_key", "through_key")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_reports, p1_segments, p1_components, p1_statements, p1_physical_tables, p2_found, p2_by_period, p3_found, p3_profile, p3_ranges, p3_values, p3_control_limits, p7_found, p7_rolling, p7_days, p7_spans)}
 
 _LOOSE = "NULLIF(upper(trim({0}, ' ' || chr(9))), '')"
 _CURRENT = "current_orders AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY loaded_at DESC, load_id DESC) rn FROM device_orders) WHERE rn = 1)"
@@ -187,34 +207,63 @@ def _items(x: str) -> str:
 
 _FIELDS = "['report_path', 'report_path_segments', 'components', 'mapping', 'status']"
 _FILLED = "json_type({0}) <> 'NULL' AND NOT (json_type({0}) = 'VARCHAR' AND NOT regexp_matches({0} ->> '$', '[^\\s\\p{{Z}}]'))"
-_PLACES = f"""
-WITH raw AS (SELECT DISTINCT record_id, report_id, exported_at, doc_json FROM report_structure WHERE json_valid(doc_json)),
-once AS (SELECT record_id, report_id, doc_json::JSON AS j FROM raw),
-docs AS (SELECT record_id, report_id, CASE WHEN json_type(j) <> 'VARCHAR' THEN j WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END AS j FROM once),
+def _scalar(x: str) -> str:
+    return f"CASE WHEN json_type({x}) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN {x} ->> '$' END"
+
+
+_RECORD = "record_id, report_id, exported_at, copy_no"
+_REPORTS = f"""
+WITH raw AS (SELECT *, row_number() OVER (PARTITION BY record_id, report_id, exported_at ORDER BY sha256(doc_json)) AS copy_no
+  FROM (SELECT DISTINCT record_id, report_id, exported_at, doc_json FROM report_structure WHERE doc_json IS NOT NULL)),
+once AS (SELECT {_RECORD}, doc_json::JSON AS j FROM raw WHERE json_valid(doc_json)),
+docs AS (SELECT {_RECORD}, CASE WHEN json_type(j) <> 'VARCHAR' THEN j WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END AS j FROM once),
 obj AS (SELECT * FROM docs WHERE json_type(j) = 'OBJECT'),
-rep AS (SELECT record_id, CASE WHEN list_has_any(json_keys(j), {_FIELDS}) THEN j ELSE json_extract(j, '$."' || report_id || '"') END AS r FROM obj),
-reports AS (SELECT record_id, r FROM rep WHERE r IS NOT NULL AND json_type(r) = 'OBJECT' AND list_has_any(json_keys(r), {_FIELDS})),
-seg AS (SELECT record_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT record_id, {_items("json_extract(r, '$.report_path_segments')")} AS l FROM reports)),
-comp AS (SELECT record_id, unnest(l) AS x, generate_subscripts(l, 1) AS c FROM (SELECT record_id, {_items("json_extract(r, '$.components')")} AS l FROM reports)),
-ds AS (SELECT record_id, c, json_extract(x, '$.dataset') AS d FROM comp WHERE json_type(x) = 'OBJECT'),
-st AS (SELECT record_id, c, unnest(l) AS x, generate_subscripts(l, 1) AS s FROM (SELECT record_id, c,
+rep AS (SELECT {_RECORD}, CASE WHEN list_has_any(json_keys(j), {_FIELDS}) THEN j ELSE json_extract(j, '$."' || report_id || '"') END AS r FROM obj),
+reports AS (SELECT {_RECORD}, r FROM rep WHERE r IS NOT NULL AND json_type(r) = 'OBJECT' AND list_has_any(json_keys(r), {_FIELDS})),
+seg AS (SELECT {_RECORD}, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT {_RECORD}, {_items("json_extract(r, '$.report_path_segments')")} AS l FROM reports)),
+comp AS (SELECT {_RECORD}, unnest(l) AS x, generate_subscripts(l, 1) AS c FROM (SELECT {_RECORD}, {_items("json_extract(r, '$.components')")} AS l FROM reports)),
+ds AS (SELECT {_RECORD}, c, json_extract(x, '$.dataset') AS d FROM comp WHERE json_type(x) = 'OBJECT'),
+st AS (SELECT {_RECORD}, c, unnest(l) AS x, generate_subscripts(l, 1) AS s FROM (SELECT {_RECORD}, c,
   CASE WHEN coalesce(json_type(json_extract(d, '$.sql_list')), 'NULL') <> 'NULL' THEN {_items("json_extract(d, '$.sql_list')")} ELSE {_items("json_extract(d, '$.queries')")} END AS l FROM ds WHERE json_type(d) = 'OBJECT')),
 said AS (SELECT * FROM st WHERE json_type(x) = 'OBJECT' OR (json_type(x) = 'VARCHAR' AND {_FILLED.format('x')})),
-pt AS (SELECT record_id, c, s, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT record_id, c, s, {_items("json_extract(x, '$.physical_tables')")} AS l FROM said WHERE json_type(x) = 'OBJECT'))
-SELECT DISTINCT record_id, 'segment' AS node_kind, 0 AS component_no, 0 AS statement_no, i::INTEGER AS item_no FROM seg WHERE {_FILLED.format('x')}
+pt AS (SELECT {_RECORD}, c, s, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT {_RECORD}, c, s, {_items("json_extract(x, '$.physical_tables')")} AS l FROM said WHERE json_type(x) = 'OBJECT'))
+"""
+_PLACES = (
+    _REPORTS
+    + f"""SELECT DISTINCT record_id, 'segment' AS node_kind, 0 AS component_no, 0 AS statement_no, i::INTEGER AS item_no FROM seg WHERE {_FILLED.format('x')}
 UNION ALL SELECT DISTINCT record_id, 'component', c::INTEGER, 0, 0 FROM comp WHERE json_type(x) = 'OBJECT'
 UNION ALL SELECT DISTINCT record_id, 'statement', c::INTEGER, s::INTEGER, 0 FROM said
 UNION ALL SELECT DISTINCT record_id, 'physical_table', c::INTEGER, s::INTEGER, i::INTEGER FROM pt WHERE {_FILLED.format('x')}
 """
+)
 
 SQL = {
     "p1_found": _PLACES,
+    "p1_reports": _REPORTS + f"SELECT {_RECORD}, {_scalar("json_extract(r, '$.report_path')")} AS report_path, {_scalar("json_extract(r, '$.status')")} AS status FROM reports",
+    "p1_segments": _REPORTS + f"SELECT {_RECORD}, i::INTEGER AS item_no, {_scalar('x')} AS segment FROM seg WHERE {_FILLED.format('x')}",
+    "p1_components": _REPORTS + f"""SELECT {_RECORD}, c::INTEGER AS component_no, {_scalar("json_extract(x, '$.component_name')")} AS component_name,
+  {_scalar("json_extract(x, '$.dataset.dataset_path')")} AS dataset_path, {_scalar("json_extract(x, '$.dataset.status')")} AS dataset_status FROM comp WHERE json_type(x) = 'OBJECT'""",
+    "p1_statements": _REPORTS + f"""SELECT {_RECORD}, c::INTEGER AS component_no, s::INTEGER AS statement_no,
+  CASE WHEN json_type(x) = 'OBJECT' THEN {_scalar("json_extract(x, '$.sql')")} ELSE x ->> '$' END AS sql, TRY_CAST({_scalar("json_extract(x, '$.occurrence_count')")} AS BIGINT) AS occurrence_count FROM said""",
+    "p1_physical_tables": _REPORTS + f"SELECT {_RECORD}, c::INTEGER AS component_no, s::INTEGER AS statement_no, i::INTEGER AS item_no, {_scalar('x')} AS table_name FROM pt WHERE {_FILLED.format('x')}",
     "p2_found": _ORPHANS + "SELECT table_name, order_id, reason FROM orphans",
     "p2_by_period": _ORPHANS + "SELECT table_name, year(order_date) * 100 + month(order_date) AS month_key, reason, count(*) AS orphans FROM orphans GROUP BY ALL",
     "p3_profile": _LONG + "SELECT feed_code, load_id, column_name, n, nulls, CASE WHEN column_name <> 'profit_amount' THEN distinct_values END AS distinct_values, bad FROM m",
     "p3_ranges": _LONG + """SELECT feed_code, load_id, column_name, count(*) AS n, sum(CASE WHEN v IS NULL AND x IS NULL THEN 1 ELSE 0 END)::BIGINT AS nulls,
   sum(CASE WHEN v IS NULL AND x IS NULL THEN 1 ELSE 0 END)::DOUBLE / count(*)::DOUBLE AS null_rate, count(DISTINCT v) + count(DISTINCT x) AS distinct_count,
   min(v) AS least, max(v) AS greatest, min(x) AS low, max(x) AS high, median(x) AS median, sum(CASE WHEN bad THEN 1 ELSE 0 END)::BIGINT AS bad FROM long GROUP BY ALL""",
+    "p3_control_limits": _LONG + """, full_m AS (SELECT m.*, e.distinct_count FROM m JOIN (SELECT load_id, column_name, feed_code, count(DISTINCT v) + count(DISTINCT x) AS distinct_count FROM long GROUP BY ALL) e
+  ON e.load_id = m.load_id AND e.column_name = m.column_name AND e.feed_code IS NOT DISTINCT FROM m.feed_code),
+rates AS (
+  SELECT feed_code, load_id, column_name, 'null_rate' AS metric, nulls::DOUBLE / n::DOUBLE AS figure FROM full_m
+  UNION ALL SELECT feed_code, load_id, column_name, 'bad_share', bad::DOUBLE / nullif(n - nulls, 0)::DOUBLE FROM full_m
+  UNION ALL SELECT feed_code, load_id, column_name, 'row_count', n::DOUBLE FROM full_m
+  UNION ALL SELECT feed_code, load_id, column_name, 'distinct_count', distinct_count::DOUBLE FROM full_m
+  UNION ALL SELECT feed_code, load_id, column_name, 'median', mid FROM full_m WHERE mid IS NOT NULL),
+h AS (SELECT *, avg(figure) OVER w AS mean_, stddev_pop(figure) OVER w AS sd, count(figure) OVER w AS k FROM rates
+  WINDOW w AS (PARTITION BY feed_code, column_name, metric ORDER BY load_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
+SELECT feed_code, load_id, column_name, metric, round(figure, 6) AS figure, round(CASE WHEN k >= 4 THEN mean_ END, 6) AS mean,
+  abs(figure - CASE WHEN k >= 4 THEN mean_ END) > 3 * CASE WHEN k >= 4 THEN sd END + 1e-9::DOUBLE AS out_of_control FROM h""",
     "p3_values": _LONG + """, vc AS (SELECT feed_code, load_id, column_name, v AS value, x AS number, count(*) AS n FROM long WHERE v IS NOT NULL OR x IS NOT NULL GROUP BY ALL)
 SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY feed_code, load_id, column_name)::DOUBLE AS share FROM vc""",
     "p3_found": _LONG + """
@@ -235,13 +284,14 @@ UNION ALL SELECT load_id, column_name, CASE WHEN column_name = 'profit_amount' T
 UNION ALL SELECT load_id, column_name, 'distribution' FROM shift WHERE shift > 0.30::DOUBLE
 UNION ALL SELECT load_id, column_name, 'distribution' FROM b WHERE column_name = 'profit_amount' AND abs(mid - pmid) > abs(pmid) * 0.5::DOUBLE
 """,
-    "p7_found": _ROLLING + f"SELECT org_code, {_key('day')} AS day_key FROM f WHERE orders_7 = 0 AND orders_30 > 0",
-    "p7_rolling": _ROLLING + f"""SELECT org_code, {_key('day')} AS day_key, {_key('through')} AS through_key, orders_7,
+    "p7_found": _DAYS + f"SELECT org_code, {_key('day')} AS day_key FROM f WHERE orders_7 = 0 AND orders_30 > 0",
+    "p7_spans": _ROLLING + f"""SELECT org_code, {_key('day')} AS day_key, {_key('through')} AS through_key, orders_7,
   at7 AS order_amount_total_7, floor(at7 / nullif(an7, 0)::DOUBLE * 10000 + 0.5) / 10000 AS order_amount_avg_7, pt7 AS profit_amount_total_7, floor(pt7 / nullif(pn7, 0)::DOUBLE * 10000 + 0.5) / 10000 AS profit_amount_avg_7,
   orders_30, at30 AS order_amount_total_30, floor(at30 / nullif(an30, 0)::DOUBLE * 10000 + 0.5) / 10000 AS order_amount_avg_30, pt30 AS profit_amount_total_30, floor(pt30 / nullif(pn30, 0)::DOUBLE * 10000 + 0.5) / 10000 AS profit_amount_avg_30
 FROM f""",
-    "p7_days": _DAYS + f"""SELECT org_code, {_key('day')} AS day_key, orders_7,
+    "p7_rolling": _DAYS + f"""SELECT org_code, {_key('day')} AS day_key, orders_7,
   at7 AS order_amount_total_7, floor(at7 / nullif(an7, 0)::DOUBLE * 10000 + 0.5) / 10000 AS order_amount_avg_7, pt7 AS profit_amount_total_7, floor(pt7 / nullif(pn7, 0)::DOUBLE * 10000 + 0.5) / 10000 AS profit_amount_avg_7,
   orders_30, at30 AS order_amount_total_30, floor(at30 / nullif(an30, 0)::DOUBLE * 10000 + 0.5) / 10000 AS order_amount_avg_30, pt30 AS profit_amount_total_30, floor(pt30 / nullif(pn30, 0)::DOUBLE * 10000 + 0.5) / 10000 AS profit_amount_avg_30
 FROM f""",
 }
+SQL["p7_days"] = SQL["p7_rolling"]

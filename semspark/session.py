@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -27,34 +26,43 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where none is set, one of this machine."""
+    """The folder named by spark.checkpoint.dir. Where none is set, a new one, but on this machine alone (local mode)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="semspark-")
         spark.conf.set("spark.checkpoint.dir", there)
-        spark.sparkContext.setCheckpointDir(there)
     return there
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, under one folder for all tables of this session."""
+    own = spark.conf.get("semspark.tables", None)
+    if not own:
+        own = f"{shared_dir(spark).rstrip('/')}/semspark-{uuid.uuid4().hex}"
+        spark.conf.set("semspark.tables", own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     Later jobs start from these files, so neither a lost executor nor a second use runs the plan above
-    them again, and each use reads only its columns.
+    them again, and each use reads only its columns. ``drop_tables`` deletes them.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
-
-    The cleaner acts when the driver collects garbage, which a large heap may put off for the whole of a long job.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that this session has materialised; call it when the results made from them are written."""
+    own = spark.conf.get("semspark.tables", None)
+    if own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        spark.conf.unset("semspark.tables")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import duckdb
 from pyspark.sql import functions as F
 
-from semspark.operators.nested import ReportTables, component_table, shred, statement_table
+from semspark.operators.nested import ReportTables, component_table, physical_table_table, report_table, segment_table, shred, statement_table
 
 SCHEMA = "record_id long, report_id string, exported_at timestamp, doc_json string, node int, label string"
 FIELDS = {"report_path", "report_path_segments", "components", "mapping", "status"}
@@ -93,3 +93,18 @@ def test_two_records_of_one_id_stay_apart(spark):
     a, b = json.dumps({"components": [{}, {}]}), json.dumps({"components": [{}]})
     t = tables(spark, [(1, a), (1, b)])
     assert t.components().count() == 3 and t.places().filter(F.col("node_kind") == "component").count() == 2
+    assert sorted((r.copy_no, r.component_no) for r in component_table(t).collect()) in ([(1, 1), (1, 2), (2, 1)], [(1, 1), (2, 1), (2, 2)])
+    assert {(r.record_id, r.report_id, r.copy_no) for r in report_table(t).collect()} == {(1, "R1", 1), (1, "R1", 2)}
+
+
+def test_rows_of_two_versions_are_tied_to_their_own_report(spark, rows):
+    one = {"report_path": "/a", "status": 5, "report_path_segments": ["x", {"y": 1}], "components": [{"component_name": "c", "dataset": {"dataset_path": "d", "sql_list": [{"sql": "s", "occurrence_count": "7", "physical_tables": ["t", None, "u"]}, "text"]}}]}
+    two = {"report_path": "/b", "components": {"component_name": 12345678901234567890.12345678901234567890}}
+    df = spark.createDataFrame([(1, "R1", f"2025-01-0{i}", json.dumps(d) if i == 1 else json.dumps(d).replace("1.2345678901234567e+19", "12345678901234567890.12345678901234567890"), 1, "x") for i, d in ((1, one), (2, two))], SCHEMA.replace("timestamp", "string"))
+    t = ReportTables(df)
+    a, b = (1, "R1", "2025-01-01", 1), (1, "R1", "2025-01-02", 1)
+    assert rows(report_table(t)) == [(*a, "/a", "5"), (*b, "/b", None)]
+    assert rows(segment_table(t)) == [(*a, 1, "x"), (*a, 2, None)]
+    assert rows(component_table(t)) == [(*a, 1, "c", "d", None), (*b, 1, "12345678901234567890.12345678901234567890", None, None)]
+    assert rows(statement_table(t)) == [(*a, 1, 1, "s", 7), (*a, 1, 2, "text", None)]
+    assert rows(physical_table_table(t)) == [(*a, 1, 1, 1, "t"), (*a, 1, 1, 3, "u")]

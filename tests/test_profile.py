@@ -3,6 +3,8 @@ import random
 from collections import Counter
 from statistics import median
 
+from pyspark.sql import functions as F
+
 from semspark.operators import profile
 from semspark.queries.problems import SPECS
 
@@ -102,6 +104,16 @@ def test_states_of_parts_merge_to_those_of_all(spark, rows):
     assert rows(profile.merge_states(*parts)) == rows(profile.merge_states(whole))
 
 
+def test_saved_parts_merge_and_a_part_that_comes_again_replaces_itself(spark, rows, tmp_path):
+    data = [("A", i % 3, ["confirmed", None, "x"][i % 3], "DE", float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame([(*r, "", i % 4, 0) for i, r in enumerate(data)], SCHEMA)
+    save = lambda rows: profile.save_states(rows, "feed_code", "load_id", SPECS, F.when(F.col("n") > 0, F.col("n")), str(tmp_path / "s"))
+    for n in (0, 1, 2, 3, 2):
+        save(df.filter(F.col("n") == n))
+    merged = profile.saved_states(df, "feed_code", "load_id", SPECS, str(tmp_path / "s"))
+    assert rows(merged) == rows(profile.merge_states(profile.load_states(df, "feed_code", "load_id", SPECS)))
+
+
 def test_control_limits_and_empty_table(spark):
     data = [("A", load, "confirmed" if load < 9 else None, "DE", 1.0) for load in range(10) for _ in range(20)]
     df = spark.createDataFrame([(*r, "", 0, 0) for r in data], SCHEMA)

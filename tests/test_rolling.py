@@ -32,7 +32,7 @@ def brute(data):
 def expanded(spark, data):
     df = spark.createDataFrame([(*r, "clash", "clash", 1) for r in data], SCHEMA)
     out = {}
-    for r in rolling_totals(df, "org", "day", ["a", "b"]).collect():
+    for r in rolling_totals(df, "org", "day", ["a", "b"], each_day=False).collect():
         d = date(r.day_key // 10000, r.day_key // 100 % 100, r.day_key % 100)
         assert r.day_key == r.through_key or r.orders_30 == 0
         while key(d) <= r.through_key:
@@ -47,18 +47,22 @@ def test_agrees_with_brute_force_over_gaps(spark):
     days = [0, 0, 1, 6, 7, 8, 36, 37, 38, 67, 68, 200, 231, 232]
     data = [("A", DAY + timedelta(n), 1.25 * n, float("nan") if n % 2 else None) for n in days] + [("B", DAY, None, 3.0), ("B", DAY + timedelta(500), -2.0, float("inf")), (None, DAY, 1.0, 1.0), ("C", None, 1.0, 1.0)]
     assert expanded(spark, data) == brute(data)
+    df = spark.createDataFrame([(*r, "clash", "clash", 1) for r in data], SCHEMA)
+    got = {(r[0], r[1]): [round(x, 4) if isinstance(x, float) else x for x in r[2:]] for r in rolling_totals(df, "org", "day", ["a", "b"]).collect()}
+    assert got == brute(data)
 
 
 def test_absurd_dates_cost_few_rows(spark):
     data = [("A", date(1926, 1, 1), 1.0, 1.0), ("A", date(2206, 1, 1), 1.0, 1.0)]
     df = spark.createDataFrame([(*r, "", "", 1) for r in data], SCHEMA)
-    assert rolling_totals(df, "org", "day", ["a"]).count() == 32
+    assert rolling_totals(df, "org", "day", ["a"], each_day=False).count() == 32
+    assert rolling_totals(df, "org", "day", ["a"]).count() == (date(2206, 1, 1) - date(1926, 1, 1)).days + 1
 
 
 def test_each_day_of_a_silence_has_a_row(spark):
     data = [("A", DAY, 1.0, None), ("A", DAY + timedelta(400), 2.0, float("nan")), ("B", DAY, None, 3.0)]
     df = spark.createDataFrame([(*r, "clash", "clash", 1) for r in data], SCHEMA)
-    got = {(r[0], r[1]): list(r[2:]) for r in rolling_totals(df, "org", "day", ["a", "b"], each_day=True).collect()}
+    got = {(r[0], r[1]): list(r[2:]) for r in rolling_totals(df, "org", "day", ["a", "b"]).collect()}
     assert got == brute(data) and len(got) == 402
 
 
