@@ -25,6 +25,9 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where none is set, a new one, but on this machine alone (local mode)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,10 +52,16 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     Later jobs start from these files, so neither a lost executor nor a second use runs the plan above
-    them again, and each use reads only its columns. ``drop_tables`` deletes them.
+    them again, and each use reads only its columns. Spark deletes what the write shuffled as soon as it is done
+    (a setting of its own, since 4.1). ``drop_tables`` deletes the tables.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
