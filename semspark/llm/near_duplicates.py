@@ -41,14 +41,14 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 SLOTS = 1 << 20
-WINDOW = 14  # boxes of a chain, in two longs
+WINDOW = 16  # boxes of a chain, 4 parity bits each
 EMPTY = 1 << 40  # more than any count
 PARTS = 256  # into which a hot segment is cut at most
 CELLS = 1 << 21  # boxes that a task lays out at once
 ITEM = 6  # bytes kept of an item's hash: two items of a pair of texts are confused once in some 10^10 pairs
 WORD = re.compile(r"\w+")
 CLASS = "class_hi long, class_lo long, size int, items binary"
-SIGNED = ["sig", "class_lo", "meta", "ring_a", "ring_b"]
+SIGNED = ["sig", "class_lo", "meta", "ring"]
 
 
 def _items(text: str, known: dict[str, list[bytes]]) -> bytes:
@@ -117,7 +117,7 @@ def slot_counts(classes: DataFrame) -> np.ndarray:
 
 
 def _boxes(flat: np.ndarray, owner: np.ndarray, count: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text and box (n x m): a hash of what is in the box, the least count of its items, 8 parity bits of them.
+    """Per text and box (n x m): a hash of what is in the box, the least count of its items, 4 parity bits of them.
 
     The box of an item is a matter of the item alone. An empty box costs more than any other.
     """
@@ -130,18 +130,17 @@ def _boxes(flat: np.ndarray, owner: np.ndarray, count: np.ndarray, n: int, m: in
     if len(cells):
         content[cells] = np.add.reduceat(mixed[order], starts)
         cost[cells] = np.minimum.reduceat(count[order], starts)
-        ring[cells] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed[order] >> np.uint64(61)), starts)
+        ring[cells] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed[order] >> np.uint64(62)), starts)
     return content.reshape(n, m), cost.reshape(n, m), ring.reshape(n, m)
 
 
-def _window(values: np.ndarray, at: np.ndarray, box: np.ndarray, bits: int, first: int, boxes: int) -> np.ndarray:
-    """Values of ``boxes`` consecutive boxes of a ring from ``first`` after the start on, one byte or bit each, as a long; no box twice."""
+def _window(values: np.ndarray, at: np.ndarray, box: np.ndarray, bits: int) -> np.ndarray:
+    """Values of the WINDOW boxes of a ring from ``box`` on as a long, ``bits`` each; no box twice."""
     m = values.shape[1]
     out = np.zeros(len(at), np.uint64)
-    for k in range(boxes):
-        if first + k < m:
-            out |= values[at, (box + first + k) % m] << np.uint64(bits * k)
-    return out.astype(np.int64)
+    for k in range(min(WINDOW, m)):
+        out |= values[at, (box + k) % m] << np.uint64(bits * k)
+    return out.view(np.int64)
 
 
 class Segments:
@@ -157,14 +156,17 @@ class Segments:
         return np.floor(both * self.part + 1e-9).astype(np.int64)
 
     def band(self, size: np.ndarray) -> np.ndarray:
-        """Band g holds the sizes from 2**g up to the next power of two."""
-        return np.floor(np.log2(size + 0.5)).astype(np.int64)
+        """Band g holds the sizes from 2 * 4**(g - 1) up to, but not with, 2 * 4**g."""
+        return np.floor(np.log2(2 * size + 0.5) / 2).astype(np.int64)
+
+    def largest(self, band: int) -> int:
+        return 2 * 4**band - 1
 
     def longest(self, size: np.ndarray) -> np.ndarray:
         return np.floor(size / self.likeness + 1e-9).astype(np.int64)
 
     def boxes(self, band: int) -> int:
-        return int(np.ceil(self.per_share * (self.budget(np.array([2.0 ** (band + 2)]))[0] + 1)))
+        return int(np.ceil(self.per_share * (self.budget(np.array([2 * self.largest(band)]))[0] + 1)))
 
 
 def signatures(classes: DataFrame, cut: Segments, counts: np.ndarray, texts: int, hot: int) -> DataFrame:
@@ -186,12 +188,11 @@ def signatures(classes: DataFrame, cut: Segments, counts: np.ndarray, texts: int
         rank = np.empty(n * m, np.int64)
         rank[order] = np.tile(np.arange(m), n)
         rank = rank.reshape(n, m)
-        short = rank <= cut.budget(size + np.minimum(cut.longest(size), 2 ** (band + 1) - 1))[:, None]
+        short = rank <= cut.budget(size + np.minimum(cut.longest(size), cut.largest(band)))[:, None]
         long = (rank <= cut.budget(2 * size)[:, None]) & own[:, None]
         at, box = np.nonzero((short | long) & (cost > 1))  # an item alone in its slot is in no other text
         chosen = (short | long).astype(np.uint64)
-        ring_a, ring_b = _window(ring, at, box, 8, 0, WINDOW // 2), _window(ring, at, box, 8, WINDOW // 2, WINDOW // 2)
-        meta = (size[at].astype(np.int64) << 16) | _window(chosen, at, box, 1, 0, WINDOW)
+        near, meta = _window(ring, at, box, 4), (size[at] << 18) | _window(chosen, at, box, 1)
         roles = short[at, box].astype(np.int64) + 2 * long[at, box]
         k = key[at, box]
         parts = np.minimum(-(-np.minimum(cost[at, box], texts) // hot), PARTS)
@@ -203,8 +204,8 @@ def signatures(classes: DataFrame, cut: Segments, counts: np.ndarray, texts: int
         sets = [(one, np.where(split, own_part, np.uint64(0)), np.where(split, roles & 1, roles)), (many, nth, roles[many] & 2)]
         for i, part, role in sets:
             i, part, role = i[role > 0], part[role > 0], role[role > 0]
-            sig = ((k[i] + part * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(8)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, lo[at[i]], meta[i] | (role << 14), ring_a[i], ring_b[i])], SIGNED)
+            sig = ((k[i] + part * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(12)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, lo[at[i]], meta[i] | (role << 16), near[i])], SIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,65 +220,34 @@ def signatures(classes: DataFrame, cut: Segments, counts: np.ndarray, texts: int
                     part = inside[i : i + step]
                     yield from rows(_hashes(items.take(pa.array(part)).to_pylist()), size[part], lo[part], band, first[part] == band)
 
-    return classes.select("class_lo", "size", "items").mapInArrow(run, "sig long, class_lo long, meta long, ring_a long, ring_b long")
-
-
-def _bytes(x: Column) -> Column:
-    """Each byte of a long replaced by the number of its bits."""
-    x = x - F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(0x55555555555555))
-    x = x.bitwiseAND(F.lit(0x33333333333333)) + F.shiftrightunsigned(x, 2).bitwiseAND(F.lit(0x33333333333333))
-    return (x + F.shiftrightunsigned(x, 4)).bitwiseAND(F.lit(0x0F0F0F0F0F0F0F))
-
-
-def _running(x: Column) -> Column:
-    """Each of 7 bytes replaced by the sum of the bytes up to it."""
-    for by in (8, 16, 32):
-        x = x + F.shiftleft(x, by).bitwiseAND(F.lit(0xFFFFFFFFFFFFFF))
-    return x
-
-
-def _spread(bits: Column) -> Column:
-    """Seven bits as seven bytes."""
-    out = F.lit(0).cast("long")
-    for i in range(WINDOW // 2):
-        out = out + F.shiftleft(F.shiftrightunsigned(bits, i).bitwiseAND(F.lit(1)), 8 * i)
-    return out
+    return classes.select("class_lo", "size", "items").mapInArrow(run, "sig long, class_lo long, meta long, ring long")
 
 
 def chain_kept(a: str, b: str, length: int = WINDOW) -> Column:
-    """Whether, from the shared segment on, each chain of 1, 2, ... ``length`` consecutive segments keeps its share.
+    """Whether, from the shared segment on, each chain of 2, 3, ... ``length`` consecutive segments keeps its share.
 
     The share of a chain is the number of its segments that either text chose, less one; at least as many items as their
-    parities tell apart differ. All chains of seven segments are tested at once, a byte each.
+    parities tell apart differ. A pair that breaks a short chain is not tested on longer ones.
     """
-    half = WINDOW // 2
-    chosen = F.col(f"{a}.meta").bitwiseOR(F.col(f"{b}.meta"))
-    ones = 0x01010101010101
-    kept, d_before, u_before = F.lit(True), F.lit(0).cast("long"), F.lit(0).cast("long")
-    for i, ring in enumerate(("ring_a", "ring_b")):
-        lanes = min(max(length - i * half, 0), half)
-        if not lanes:
-            break
-        high = sum(0x80 << (8 * k) for k in range(lanes))
-        d = _running(_bytes(F.col(f"{a}.{ring}").bitwiseXOR(F.col(f"{b}.{ring}")))) + d_before * ones
-        u = _running(_spread(F.shiftrightunsigned(chosen, i * half).bitwiseAND(F.lit(0x7F)))) + u_before * ones
-        # a byte of u - 1 + 128 - d keeps its high bit just when d is at most u - 1; the shared segment makes u at least 1
-        kept = kept & ((u + F.lit(0x7F7F7F7F7F7F7F) - d).bitwiseAND(F.lit(high)) == F.lit(high))
-        d_before, u_before = F.shiftrightunsigned(d, 48), F.shiftrightunsigned(u, 48)
+    differ, chosen, kept = F.col(f"{a}.ring").bitwiseXOR(F.col(f"{b}.ring")), F.col(f"{a}.meta").bitwiseOR(F.col(f"{b}.meta")), F.lit(True)
+    for n in range(2, length + 1):
+        bits = (1 << 4 * n) - 1
+        d = F.bit_count(differ.bitwiseAND(F.lit(bits if n < 16 else -1)))
+        kept = kept & (d < F.bit_count(chosen.bitwiseAND(F.lit((1 << n) - 1))))
     return kept
 
 
 def _roles(a: str, b: str) -> Column:
     """a may be the shorter text and b the longer; written as one test of both, as both sides read the same rows."""
-    ready = F.shiftrightunsigned(F.col(f"{a}.meta"), 14).bitwiseAND(F.shiftrightunsigned(F.col(f"{b}.meta"), 15)).bitwiseAND(F.lit(1)) == 1
-    x, y = F.shiftrightunsigned(F.col(f"{a}.meta"), 16), F.shiftrightunsigned(F.col(f"{b}.meta"), 16)
+    ready = F.shiftrightunsigned(F.col(f"{a}.meta"), 16).bitwiseAND(F.shiftrightunsigned(F.col(f"{b}.meta"), 17)).bitwiseAND(F.lit(1)) == 1
+    x, y = F.shiftrightunsigned(F.col(f"{a}.meta"), 18), F.shiftrightunsigned(F.col(f"{b}.meta"), 18)
     return ready & ((x < y) | ((x == y) & (F.col(f"{a}.class_lo") < F.col(f"{b}.class_lo"))))
 
 
 def met(signed: DataFrame, likeness: float, length: int = WINDOW) -> DataFrame:
     """(a, b): class_lo of pairs that share a segment and keep the chains of up to ``length`` segments from there on."""
     a, b = signed.alias("a"), signed.alias("b")
-    x, y = F.shiftrightunsigned(F.col("a.meta"), 16), F.shiftrightunsigned(F.col("b.meta"), 16)
+    x, y = F.shiftrightunsigned(F.col("a.meta"), 18), F.shiftrightunsigned(F.col("b.meta"), 18)
     on = (F.col("a.sig") == F.col("b.sig")) & _roles("a", "b") & (x >= y * F.lit(likeness) - 1e-9)
     return a.join(b, on & chain_kept("a", "b", length) if length else on).select(F.col("a.class_lo").alias("a"), F.col("b.class_lo").alias("b"))
 
@@ -314,17 +284,16 @@ class NearDuplicates:
         self.keys = materialise(rows.select("key", "class_hi", "class_lo").distinct(), "members")
         classes = rows.filter("items IS NOT NULL").drop("key").repartition(parts, "class_lo").dropDuplicates(["class_lo", "class_hi"])
         self.classes = materialise(classes, "classes")
+        self.texts = self.classes.count()
         rows.unpersist()
 
     def signed(self) -> DataFrame:
-        return signatures(self.classes, self.cut, slot_counts(self.classes), self.classes.count(), self.hot)
+        return signatures(self.classes, self.cut, slot_counts(self.classes), self.texts, self.hot)
 
     @cached_property
     def class_pairs(self) -> DataFrame:
         """(a_hi, a_lo, b_hi, b_lo), each pair once."""
-        signed = self.signed().repartition(self.parts, "sig").persist(StorageLevel.MEMORY_AND_DISK)  # both sides of the join read the one exchange
-        pairs = materialise(met(signed, self.likeness).distinct(), "candidates")
-        signed.unpersist()
+        pairs = materialise(met(self.signed(), self.likeness).distinct(), "candidates")  # both sides of the join read one exchange
         return materialise(verified(pairs, self.classes, self.likeness), "class_pairs")
 
     def funnel(self) -> list[tuple[str, int]]:

@@ -68,7 +68,7 @@ def test_chains_reject_pairs_that_share_a_segment_and_lose_none(spark):
     data = mixed() + [(f"s{i}", " ".join(f"u{(i * 7 + j * j) % 97}" for j in range(36)) + " select from where and group by") for i in range(120)]
     n = NearDuplicates(spark.createDataFrame([(*r, 1, 1, 1, "clash") for r in data], SCHEMA), "key", "text")
     steps = dict(n.funnel())
-    left = [steps["shared segment"], *[steps[f"chains of {k}"] for k in range(2, 15)]]
+    left = [steps["shared segment"], *[steps[f"chains of {k}"] for k in range(2, 17)]]
     assert left == sorted(left, reverse=True) and left[1] < left[0] and left[-1] < left[1]
     assert steps["distinct"] >= steps["alike"] > 0
     assert {tuple(r) for r in n.key_pairs().collect()} == brute(data)
