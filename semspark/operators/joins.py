@@ -13,9 +13,12 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.001, least: int = 20_000)
     return [r[0] for r in counts.filter(F.col("n") > rows * share).filter(F.col(key).isNotNull()).select(key).collect()]
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", parts: int = 32, share: float = 0.001, least: int = 20_000) -> DataFrame:
-    """Join with a right side that has each key once. Rows of hot keys go to ``parts`` tasks, each with a copy of the right row."""
-    hot = hot_keys(left, key, share, least)
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", parts: int = 32, share: float = 0.001, least: int = 20_000, hot: list | None = None) -> DataFrame:
+    """Join with a right side that has each key once. Rows of hot keys go to ``parts`` tasks, each with a copy of the right row.
+
+    hot: the hot keys of ``left`` where they are known already.
+    """
+    hot = hot_keys(left, key, share, least) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
     salted = left.withColumn("_part", F.when(F.col(key).isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(F.lit(0)))

@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
-    """A session for tests and the bench; a cluster brings its own."""
+    """A session for tests and the bench; a cluster brings its own, with the package in --py-files or installed."""
+    root = str(Path(__file__).resolve().parent.parent)  # so that workers find the package wherever the driver was started
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("semspark")
