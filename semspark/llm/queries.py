@@ -11,7 +11,7 @@ from .defects import answer_facts, defect_posteriors, one_defect
 from .near_duplicates import NearDuplicates
 from .packing import pack
 from .quantiles import load_summaries, percentiles
-from .subjects import SubjectGraph
+from .subjects import MOST, SubjectGraph
 from .tokens import count_tokens, encode_texts
 
 CAPACITY = 2048
@@ -89,21 +89,30 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return used.withColumn("free", CAPACITY - F.col("used"))
 
 
+def _subjects(spark: SparkSession, d: str) -> SubjectGraph:
+    areas = sorted(r[0] for r in table(spark, d, "subject_areas").select(F.lower(F.trim("subject"))).distinct().limit(MOST + 1).collect() if r[0])  # one more than allowed raises an error
+    return SubjectGraph(table(spark, d, "documents"), table(spark, d, "doc_labels"), areas)
+
+
 def _subject_shares(spark: SparkSession, d: str) -> DataFrame:
-    areas = sorted(r[0] for r in table(spark, d, "subject_areas").select(F.lower(F.trim("subject"))).distinct().limit(100).collect() if r[0])  # a fixed list
-    return SubjectGraph(table(spark, d, "documents"), table(spark, d, "doc_labels"), areas).document_shares()
+    return _subjects(spark, d).document_shares()
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return _subject_shares(spark, d).filter("share >= 0.25").select("doc_id", "subject")
 
 
+def p10_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """The labels used, and whether the rest of the collection bears them out."""
+    return _subjects(spark, d).seeds()
+
+
 def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     shares = _subject_shares(spark, d).filter("share >= 0.25")
     return shares.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("share"), 3).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_members, p4_classes, p5_found, p5_labels, p6_percentiles, p6_load_percentiles, p8_ids, p9_packing, p9_containers, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_members, p4_classes, p5_found, p5_labels, p6_percentiles, p6_load_percentiles, p8_ids, p9_packing, p9_containers, p10_found, p10_composition, p10_seeds)}
 #: Every pair of classes with a word in common, counted in full.
 _LIKE = """
 WITH raw AS (SELECT node_id AS key, query AS text FROM nodes UNION ALL SELECT attempt_id, sql_text FROM generation_attempts),

@@ -2,13 +2,19 @@
 
 Two documents are alike in so far as their sentences share phrases (word and character n-grams). That graph is kept
 in factors, as edges document - sentence form - phrase, so no pairs of documents are made. Hand labels of documents
-are the seeds. Each round joins sentence forms with phrases and back: a phrase takes the mean subject of the sentences
-that hold it, a sentence the sharpened mean of its phrases, purer phrases weighing more. Seed evidence is added anew in
-each round (clamped). Phrases that seeds know well and tie to no subject are no links (verification). A sentence whose
-phrases stay below an even chance of any subject keeps most of its weight for none. In the end each sentence form treats one subject or none, and a document the subjects of at least ``share`` of its sentences.
+are the seeds. Each round joins sentence forms with phrases and back, and forms with documents: a phrase takes the mean
+subject of the sentences that hold it, a sentence the sharpened mean of its phrases, purer phrases weighing more, a
+document the shares of its sentences. Seed evidence enters the phrases anew in each round. When
+the rounds have settled, seeds are verified: a label is trusted where the rest of the collection agrees, that is where its
+document's share of the subject reaches ``share``; others are set aside and listed (``seeds``). Trusted seeds are clamped:
+the rounds that follow take evidence from them alone, and in the end their documents bear them whatever the last round says. Phrases that seeds know well and tie to no subject are no
+links (verification of edges). Rounds settle when the subjects of documents change by less than ``tolerance``.
 
-Headings, numbering, speaker marks, tables, code, footers and page furniture are no sentences; a sentence that mentions
-a thing in passing treats no subject.
+A mention in passing is learned, not listed: a phrase is one of passing mention if sentences that hold it name a subject
+while the labels of their documents do so far more seldom than for other sentences. Such sentences treat no subject; so does
+a sentence whose phrases stay below an even chance of any. A document has the subjects of at least ``share`` of its sentences.
+
+Headings, numbering, speaker marks, table rows, code, bracketed lines, footers and page furniture are no sentences.
 
 Defined results: null, blank and contentless texts have no subject; documents and labels sent twice count once;
 labels are compared without regard to case and outer blanks, those that name no known subject or no document are left
@@ -21,19 +27,21 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_unique
+from ..operators.joins import hot_keys, join_unique
 from ..session import materialise
 
-# Line starts that mark items and speakers, lines that are furniture, and words of passing mention.
+MOST = 1000  # subjects, as each is a column
+
+# Line starts that mark items and speakers, and lines that are furniture.
 LEAD = re.compile(r"^(?:\[\d{1,2}:\d{2}(?::\d{2})?\]\s*\S+?:\s*|[-*•]\s+|\d{1,3}[.)]\s+)")
 FURNITURE = re.compile(r"^(?:#.*|ticket-\d+|state: ?\w+|page \d+ ?/ ?\d+|>>>.*<<<|-{2,}|\|.*|\(.*\)|```.*|generated by .*do not reply|(?:confidential[. ]*)?internal use only)\W*$", re.IGNORECASE)
-PASSING = re.compile(r"also mentioned|not discussed|顺带提到|de paso se menciono|nebenbei wurde noch erwahnt")
 ENDS = re.compile(r"(?<=[。！？])|(?<=[.!?])(?=\s)|銆\S?|(?<=[.!?])$")
 BREAKS = re.compile(r"<br ?/?>|[\n\r\x0b\x0c\x85  ]+", re.IGNORECASE)
 CJK = r"㐀-鿿豈-﫿"
@@ -41,7 +49,7 @@ UNIT = re.compile(rf"[{CJK}]+|[^\W\d_{CJK}][^\W_{CJK}]*")
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences of a text in a plain form: no case, accents, digits or codes of organisations."""
+    """Sentences of a text in a plain form: no case, accents, digits or codes (words of letters, digits and underscores)."""
     text = unicodedata.normalize("NFKC", html.unescape(text)).replace("​", "").replace("﻿", "")
     parts: list[str] = []
     code = False
@@ -63,7 +71,7 @@ def sentences(text: str) -> list[str]:
             s = LEAD.sub("", s.strip())
             s = unicodedata.normalize("NFKD", s.lower())
             s = "".join(c for c in s if not unicodedata.combining(c))
-            s = " ".join(w for w in re.sub(r"org_\S*?\d+", " ", re.sub(r"\d+", "0", s)).split())
+            s = " ".join(w for w in re.sub(r"\w*_\w*\d\w*", " ", re.sub(r"\d+", "0", s)).split())
             if UNIT.search(s):
                 out.append(s)
     return out
@@ -103,83 +111,132 @@ def sentence_counts(docs: DataFrame) -> DataFrame:
 
 
 def phrase_edges(forms: DataFrame) -> DataFrame:
-    """(form, phrase) of all sentence forms that are no mention in passing."""
+    """(form, phrase) of all sentence forms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(f, _signed(p)) for f, s in zip(batch["form"], batch["sentence"], strict=True) if not PASSING.search(s) for p in phrases(s)]
+            rows = [(f, _signed(p)) for f, s in zip(batch["form"], batch["sentence"], strict=True) for p in phrases(s)]
             yield pd.DataFrame(rows, columns=["form", "phrase"])
 
     return forms.mapInPandas(run, "form long, phrase long")
 
 
 class SubjectGraph:
-    """Propagates the subjects of labelled documents to sentence forms; ``subjects`` is the fixed list of their names.
+    """Propagates the subjects of labelled documents to sentence forms and documents; ``subjects``: the list of their names, at most MOST.
 
     purity: a phrase that occurs often in labelled documents links only if that share of them bears one label. even: the
     weight of no subject in a sentence. Both are taken of the share that the purest tenth of phrases reaches, which
-    tells how complete the labels are. prior: labelled occurrences that weigh as much as the base rate.
+    tells how complete the labels are. prior: labelled occurrences that weigh as much as the base rate. passing: a phrase is
+    one of passing mention below this part of the usual agreement with labels.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = 3, prior: float = 3.0, purity: float = 0.7, even: float = 0.35):
-        self.subjects, self.rounds, self.prior, self.purity, self.even = subjects, rounds, prior, purity, even
+    def __init__(self, docs: DataFrame, labels: DataFrame, subjects: list[str], share: float = 0.25, rounds: int = 8, tolerance: float = 0.01, prior: float = 3.0, purity: float = 0.7, even: float = 0.35, passing: float = 0.4):
+        if len(subjects) > MOST:
+            raise ValueError(f"more than {MOST} subjects")
+        self.subjects, self.share, self.rounds, self.tolerance = subjects, share, rounds, tolerance
+        self.prior, self.purity, self.even, self.passing = prior, purity, even, passing
         docs = docs.select("doc_id", "text").filter("text IS NOT NULL").distinct()
         self.counts = materialise(sentence_counts(docs), "sentences")
         name = F.lower(F.trim("subject"))
         self.labels = labels.select("doc_id", name.alias("subject")).filter(F.col("subject").isin(subjects)).distinct()
         self.names = [f"s{i}" for i in range(len(subjects))]
-
-    def _sums(self, weight: Column, of: list[Column]) -> list[Column]:
-        return [F.sum(weight * c).alias(n) for c, n in zip(of, self.names, strict=True)]
+        self.changes: list[float] = []
 
     def _top(self) -> Column:
         return F.greatest(*[F.col(n) for n in self.names], F.lit(0.0), F.lit(0.0))
 
-    def propagate(self) -> DataFrame:
-        """(form, s0, s1, ..., best): weight of each subject per sentence form, and that of its purest phrase."""
+    def _name(self, top: Column) -> Column:
+        return F.coalesce(*[F.when(F.col(n) == top, F.lit(s)) for n, s in zip(self.names, self.subjects, strict=True)], F.lit(None).cast("string"))
+
+    def _seen(self, seeds: DataFrame) -> DataFrame:
+        """(form, s0, s1, ..., size): how often each form stands in labelled documents, and in those that bear each subject."""
+        names = self.names
+        bears = [F.max((F.col("subject") == s).cast("double")).alias(n) for s, n in zip(self.subjects, names, strict=True)]
+        marks = self.labels.select("doc_id").distinct().join(seeds.groupBy("doc_id").agg(*bears), "doc_id", "left").fillna(0.0, names)
+        return materialise(self.counts.join(marks, "doc_id").groupBy("form").agg(*[F.sum(F.col("n") * F.col(n)).alias(n) for n in names], F.sum("n").alias("size")), "seen")
+
+    def _phrase_sums(self, edges: DataFrame, seen: DataFrame) -> DataFrame:
+        return materialise(edges.join(seen, "form").groupBy("phrase").agg(*[F.sum(n).alias(n) for n in [*self.names, "size"]]), "seeds")
+
+    def _purest(self, sums: DataFrame) -> float:
+        """The share of one label that the purest tenth of well-known phrases reaches: one figure."""
+        return sums.filter("size >= 15").agg(F.percentile_approx(self._top() / F.col("size"), 0.9)).first()[0] or 1.0
+
+    def _passing(self, edges: DataFrame, state: DataFrame, seen: DataFrame) -> DataFrame:
+        """The phrases of passing mention."""
+        names, top = self.names, self._top()
+        told = state.filter((top >= 0.5) & F.col("sure")).select("form", *[(F.col(n) == top).cast("double").alias(f"p{n}") for n in names])
+        agree = sum((F.col(f"p{n}") * F.col(n) for n in names), F.lit(0.0))
+        judged = told.join(seen, "form").select("form", agree.alias("agree"), "size")
+        usual = judged.agg(F.sum("agree") / F.sum("size")).first()[0]  # one figure
+        rows = edges.join(judged, "form").groupBy("phrase").agg(F.sum("agree").alias("agree"), F.sum("size").alias("size"))
+        return rows.filter((F.col("size") >= 15) & (F.col("agree") < self.passing * (usual or 0.0) * F.col("size"))).select("phrase")
+
+    @cached_property
+    def result(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, subject, share) of the documents, and (doc_id, subject, trusted) of the seeds."""
         names, prior = self.names, self.prior
-        forms = self.counts.groupBy("form").agg(F.first("sentence").alias("sentence"), F.sum("n").alias("n"))
+        forms = materialise(self.counts.groupBy("form").agg(F.first("sentence").alias("sentence"), F.sum("n").alias("n")), "forms")
         edges = materialise(phrase_edges(forms.select("form", "sentence")), "edges")
-        marks = self.labels.groupBy("doc_id").agg(*[F.max((F.col("subject") == s).cast("double")).alias(n) for s, n in zip(self.subjects, names, strict=True)])
-        seen = self.counts.join(marks, "doc_id").groupBy("form").agg(*self._sums(F.col("n"), [F.col(n) for n in names]), F.sum("n").alias("size"))
-        sums = seen.agg(F.sum("size").alias("size"), *[F.sum(n).alias(n) for n in names]).first()  # one figure a subject
-        base = [(sums[n] or 0.0) / (sums["size"] or 1.0) for n in names]
-
-        def shrunk(source: list[Column], size: Column) -> list[Column]:
-            return [((c + prior * b) / (size + prior)).alias(n) for c, b, n in zip(source, base, names, strict=True)]
-
-        by_seed = edges.join(seen, "form").groupBy("phrase").agg(*[F.sum(n).alias(n) for n in [*names, "size"]])
-        seeds = materialise(by_seed, "seeds")
-        strongest = self._top()
-        known = seeds.filter(F.col("size") >= 15)
-        level = known.agg(F.percentile_approx(strongest / F.col("size"), 0.9)).first()[0] or 1.0  # one figure
-        flat = known.filter(strongest < self.purity * level * F.col("size")).select("phrase")
-        links = materialise(edges.join(flat, "phrase", "left_anti"), "links")
+        hot = hot_keys(edges, "phrase")
+        sizes = materialise(self.counts.groupBy("doc_id").agg(F.sum("n").alias("all")), "sizes")
+        known = self.labels.join(sizes.select("doc_id"), "doc_id", "left_semi")
+        seen = self._seen(known)
+        seeds = self._phrase_sums(edges, seen)
+        level = self._purest(seeds)
+        flat = seeds.filter((F.col("size") >= 15) & (self._top() < self.purity * level * F.col("size"))).select("phrase")
+        links = materialise(join_unique(edges, flat, "phrase", "left_anti", hot=hot), "links")
         counted = forms.select("form", "n")
-        current = seeds.select("phrase", *shrunk([F.col(n) for n in names], F.col("size")))
-        state = None
+        trusted, state, before, shares, verified = known, None, None, None, False
         for turn in range(self.rounds):
-            weighed = join_unique(links, current.withColumn("w", F.pow(strongest, 4)), "phrase")
-            state = weighed.groupBy("form").agg(*[F.coalesce(F.try_divide(F.sum(F.col("w") * F.col(n)), F.sum("w")), F.lit(0.0)).alias(n) for n in names], F.max(strongest).alias("best"))
+            sums = seen.agg(F.sum("size").alias("size"), *[F.sum(n).alias(n) for n in names]).first()  # one figure a subject
+            base = [(sums[n] or 0.0) / (sums["size"] or 1.0) for n in names]
+
+            def shrunk(source: list[Column], size: Column, base: list[float] = base) -> list[Column]:
+                return [((c + prior * b) / (size + prior)).alias(n) for c, b, n in zip(source, base, names, strict=True)]
+
+            if state is None:
+                current = seeds.select("phrase", *shrunk([F.col(n) for n in names], F.col("size")))
+            else:
+                told = links.join(state.join(counted, "form").select("form", "n", *[(F.col("n") * F.col(n)).alias(n) for n in names]), "form")
+                mean = told.groupBy("phrase").agg(*[F.sum(n).alias(n) for n in names], F.sum("n").alias("size"))
+                old = seeds.select("phrase", *[F.col(n).alias(f"o{n}") for n in names], F.col("size").alias("osize"))
+                both = mean.join(old, "phrase", "left").fillna(0.0, ["osize", *[f"o{n}" for n in names]])
+                current = both.select("phrase", *shrunk([F.col(n) + F.col(f"o{n}") for n in names], F.col("size") + F.col("osize")))
+            weighed = join_unique(links, current.withColumn("w", F.pow(self._top(), 4)), "phrase", hot=hot)
+            mixed = weighed.groupBy("form").agg(*[F.coalesce(F.try_divide(F.sum(F.col("w") * F.col(n)), F.sum("w")), F.lit(0.0)).alias(n) for n in names], F.max(self._top()).alias("best"))
             power = sum((F.pow(F.col(n), 3) for n in names), F.lit((self.even * level) ** 3))
-            state = materialise(state.select("form", "best", *[(F.pow(F.col(n), 3) / power).alias(n) for n in names]), "forms")
-            if turn + 1 == self.rounds:
+            state = mixed.select("form", (F.col("best") >= 0.5 * level).alias("sure"), *[(F.pow(F.col(n), 3) / power).alias(n) for n in names])
+            state = materialise(state, "state")
+            top = self._top()
+            treats = state.filter((top >= 0.5) & F.col("sure")).select("form", self._name(top).alias("subject"))
+            own = join_unique(self.counts, treats, "form").groupBy("doc_id", "subject").agg(F.sum("n").alias("n"))
+            shares = materialise(own.join(sizes, "doc_id").select("doc_id", "subject", (F.col("n") / F.col("all")).alias("share")), "shares")
+            held = shares.filter(F.col("share") >= self.share).select("doc_id", "subject")
+            if before is not None:
+                n, kept = held.count(), held.join(before, ["doc_id", "subject"], "left_semi").count()
+                self.changes.append((n + before.count() - 2 * kept) / max(n, 1))
+            before = held
+            settled = bool(self.changes) and self.changes[-1] < self.tolerance or turn + 2 == self.rounds
+            if settled and verified:
                 break
-            told = links.join(state.join(counted, "form").select("form", "n", *[(F.col("n") * F.col(n)).alias(n) for n in names]), "form")
-            mean = told.groupBy("phrase").agg(*[F.sum(n).alias(n) for n in names], F.sum("n").alias("size"))
-            old = seeds.select("phrase", *[F.col(n).alias(f"o{n}") for n in names], F.col("size").alias("osize"))
-            both = mean.join(old, "phrase", "left").fillna(0.0, ["osize", *[f"o{n}" for n in names]])
-            current = materialise(both.select("phrase", *shrunk([F.col(n) + F.col(f"o{n}") for n in names], F.col("size") + F.col("osize"))), "phrases")
-        return state.withColumn("sure", F.col("best") >= 0.5 * level)
-
-    def sentence_subjects(self) -> DataFrame:
-        """(form, subject) of the sentence forms that treat a subject."""
-        top = self._top()
-        name = F.coalesce(*[F.when(F.col(n) == top, F.lit(s)) for n, s in zip(self.names, self.subjects, strict=True)], F.lit(None).cast("string"))
-        return self.propagate().filter((top >= 0.5) & F.col("sure")).select("form", name.alias("subject"))
+            if settled:
+                verified = True
+                aside = join_unique(edges, self._passing(edges, state, seen), "phrase", "left_semi", hot=hot).select("form").distinct()
+                links = materialise(links.join(aside, "form", "left_anti"), "links")
+                trusted = materialise(known.join(held, ["doc_id", "subject"], "left_semi"), "trusted")
+                seen = self._seen(trusted)
+                seeds = self._phrase_sums(links, seen)
+                level = self._purest(seeds)
+        clamped = trusted.join(shares, ["doc_id", "subject"], "left").select("doc_id", "subject", F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(self.share)).alias("share"))
+        rest = shares.join(trusted, ["doc_id", "subject"], "left_anti")
+        seeds = known.join(trusted.withColumn("trusted", F.lit(True)), ["doc_id", "subject"], "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+        return rest.select("doc_id", "subject", "share").unionByName(clamped), seeds
 
     def document_shares(self) -> DataFrame:
-        """(doc_id, subject, share): the share of each document's sentences that treat the subject."""
-        size = self.counts.groupBy("doc_id").agg(F.sum("n").alias("all"))
-        own = join_unique(self.counts, self.sentence_subjects(), "form").groupBy("doc_id", "subject").agg(F.sum("n").alias("n"))
-        return own.join(size, "doc_id").select("doc_id", "subject", (F.col("n") / F.col("all")).alias("share"))
+        """(doc_id, subject, share): the share of each document's sentences that treat the subject; of a trusted label at least ``share``."""
+        return self.result[0]
+
+    def seeds(self) -> DataFrame:
+        """(doc_id, subject, trusted) of the labels that name a known subject of a document with sentences."""
+        return self.result[1]
