@@ -78,8 +78,30 @@ def _top_level(text: str) -> list[str]:
     return [x.replace("\x00", "()").strip() for x in text.split(",")]
 
 
+def _last_name(item: str) -> str:
+    return re.split(r"[.\s]", item.strip().lower())[-1]
+
+
+def _ungrouped(select: str, rest: str) -> bool:
+    """Whether a select list mixes aggregates with columns by which the rest does not group: a GROUP BY that was cut."""
+    items = [x for x in _top_level(re.sub(r"^\s*distinct\b", "", select, flags=re.IGNORECASE)) if x]
+    summed = [x for x in items if AGGREGATE.search(x) and not re.search(r"\bover\b", x, re.IGNORECASE)]
+    plain = [x for x in items if re.fullmatch(r"[\w.]+(?:\s+(?:as\s+)?\w+)?", x, re.IGNORECASE) and not re.fullmatch(r"[\d.]+|true|false|null", x.split()[0], re.IGNORECASE)]
+    if not summed or not plain:
+        return False
+    grouped = re.search(r"\bgroup\s+by\b(.*?)(?:\bhaving\b|\border\s+by\b|\blimit\b|\bqualify\b|\bunion\b|$)", rest, re.IGNORECASE | re.DOTALL)
+    if grouped is None:
+        return True
+    body = grouped.group(1)
+    if re.search(r"\b(?:all|rollup|cube|grouping\s+sets)\b", body, re.IGNORECASE):
+        return False
+    keys = {_last_name(k) for k in _top_level(body) if k}
+    return any(str(items.index(x) + 1) not in keys and _last_name(x.split()[0]) not in keys and _last_name(x) not in keys for x in plain)
+
+
 def sql_is_cut(sql: str) -> bool:
-    """Whether a statement stops before its end, as far as its form tells."""
+    """Whether a statement stops before its end, as far as its form tells: an open quote or bracket, a clause or operator
+    without its operand, no source for its columns, columns left ungrouped beside aggregates."""
     bare, quote = _strip_strings(sql)
     bare = bare.strip().rstrip(";").strip()
     if quote or bare.count("(") != bare.count(")"):
@@ -87,28 +109,26 @@ def sql_is_cut(sql: str) -> bool:
     if re.search(r"[,(=<>+\-/|.]$", bare):
         return True
     words = re.findall(r"[\w.*?]+|[^\s\w]", bare.lower())
-    if not words or words[-1] in DANGLING or "from" not in words:
+    if not words or words[-1] in DANGLING:
         return True
-    if re.search(r"\b(?:and|or|where|having|on)\s+[\w.]+$", bare, re.IGNORECASE) and not re.search(r"\bbetween\s+\S+\s+and\s+\S+$", bare, re.IGNORECASE):
-        return True
-    if re.search(r"\b(?:is|not|between)\s+\w*$", bare, re.IGNORECASE) and not re.search(r"\bis\s+(?:not\s+)?null$", bare, re.IGNORECASE):
+    if "from" not in words:  # complete only without columns
+        return words[0] != "select" or len(words) < 2 or any(re.fullmatch(r"[a-z_][\w.]*", w) and w not in ("as", "true", "false", "null") and after != "(" and before != "as" for before, w, after in zip(words, words[1:], [*words[2:], ""], strict=False))
+    tail = re.search(r"\b(?:and|or|where|having|on|not)\s+([\w.]+)$", bare, re.IGNORECASE)
+    if tail and not re.search(r"\bbetween\s+\S+\s+and\s+\S+$|\bis\s+not\s+\w+$", bare, re.IGNORECASE) and not re.fullmatch(r"(?:is|has|can|was)_\w+|\w+_flag|flag|true|false|active|enabled|deleted|valid", _last_name(tail.group(1))):
+        return True  # a column alone is no condition, unless it is named like a truth value
+    if re.search(r"\b(?:is|is\s+not|between)\s+\w*$", bare, re.IGNORECASE) and not re.search(r"\bis\s+(?:not\s+)?(?:null|true|false|unknown)$", bare, re.IGNORECASE):
         return True
     if words[0] == "with" and not re.search(r"\)\s*select\b.+\bfrom\s+\S+", bare, re.IGNORECASE | re.DOTALL):
         return True
     inner = re.search(r"^\s*with\s+\w+\s+as\s*\((.*)\)\s*select\b", bare, re.IGNORECASE | re.DOTALL)
-    main = inner.group(1) if inner else bare
-    shape = re.search(r"^\s*select\b(.*?)\bfrom\b(.*)$", main, re.IGNORECASE | re.DOTALL)
-    if shape and AGGREGATE.search(shape.group(1)):
-        plain = [x for x in _top_level(shape.group(1)) if not AGGREGATE.search(x)]
-        grouped = re.search(r"\bgroup\s+by\b(.*?)(?:\border\s+by\b|\blimit\b|\bhaving\b|$)", shape.group(2), re.IGNORECASE | re.DOTALL)
-        if plain and (grouped is None or len([g for g in _top_level(grouped.group(1)) if g]) < len(plain)):
-            return True
-        if grouped and any(re.search(r"\S\s+\w+$", g) for g in _top_level(grouped.group(1))):
-            return True
-        if plain and grouped and {p.lower().split(" as ")[0].strip() for p in plain} != {g.lower().strip() for g in _top_level(grouped.group(1))}:
-            return True
+    shape = re.search(r"^\s*select\b(.*?)\bfrom\b(.*)$", inner.group(1) if inner else bare, re.IGNORECASE | re.DOTALL)
+    if shape and _ungrouped(*shape.groups()):
+        return True
+    grouped = re.search(r"\bgroup\s+by\b(.*?)(?:\border\s+by\b|\blimit\b|\bhaving\b|$)", bare, re.IGNORECASE | re.DOTALL)
+    if grouped and not inner and any(re.search(r"[\w)]\s+(?!with\s+rollup)\w+$", g) for g in _top_level(grouped.group(1))):
+        return True  # two names side by side: the next clause has only begun
     tail = re.search(r"\border\s+by\s+[\w.]+\s+(\w+)(?:\s+(\w+))?$", bare, re.IGNORECASE)
-    return bool(tail and (tail.group(1).lower() not in ("asc", "desc", "limit") or tail.group(2) and not tail.group(2).isdigit()))
+    return bool(tail and (tail.group(1).lower() not in ("asc", "desc", "limit", "nulls") or tail.group(2) and not tail.group(2).isdigit() and tail.group(2).lower() not in ("first", "last")))
 
 
 def _texts(value: object) -> list[str]:
@@ -259,14 +279,15 @@ def labelling_functions() -> dict[str, list[Column]]:
 class LabelModel:
     """Votes with a hidden label, fitted by expectation maximisation to pattern counts.
 
-    A vote weighs the ratio of how often it is cast on pairs with and without the label; an abstention weighs nothing,
-    since a function that sees one form of a defect says nothing of the others. A function is held to be better
-    than chance: a vote for the label weighs at least ``least``, one against it at most ``most``, else the labels could
-    change places. At first false alarms are held to be rare.
+    A vote weighs the ratio of how often it is cast on pairs with and without the label, as the pairs tell; an abstention
+    weighs nothing, since a function that sees one form of a defect says nothing of the others. A pair for which no function
+    votes does not bear the label, so functions that only ever vote for it do not raise its share. The only bounds: no
+    vote tells against its own direction, else the labels could change places. ``share`` and ``first`` (weights of votes
+    for and against) are where the rounds begin; ``few`` pairs' worth of them stays in.
     """
 
-    def __init__(self, share: float = 0.02, first: tuple[float, float] = (300.0, 0.05), least: float = 50.0, most: float = 0.3, rounds: int = 50):
-        self.share, self.first, self.least, self.most, self.rounds = share, first, least, most, rounds
+    def __init__(self, share: float = 0.02, first: tuple[float, float] = (300.0, 0.05), few: float = 2.0, rounds: int = 200):
+        self.share, self.first, self.few, self.rounds = share, first, few, rounds
 
     def fit(self, votes: np.ndarray, n: np.ndarray) -> LabelModel:
         """votes: a row per pattern with 1, 0 or NaN. n: how many pairs have it."""
@@ -276,15 +297,16 @@ class LabelModel:
         for _ in range(self.rounds):
             y = self.posterior(votes)
             with_, without = n * y, n * (1 - y)
-            rate = lambda w, cast, few: ((w[:, None] * cast).sum(0) + few) / (w.sum() + 1)
-            self.yes = np.clip(rate(with_, ones, 0.05) / rate(without, ones, 0.05), self.least, 1e5)
-            self.no = np.clip(rate(with_, zeros, 0.05) / rate(without, zeros, 0.05), 1e-5, self.most)
-            self.prior = float((with_.sum() + 100 * self.share) / (n.sum() + 100))
+            rate = lambda w, cast, own: ((w[:, None] * cast).sum(0) + self.few * own) / (w.sum() + self.few)
+            self.yes = np.maximum(rate(with_, ones, 1.0) / rate(without, ones, 1 / self.first[0]), 1.0)
+            self.no = np.minimum(rate(with_, zeros, self.first[1]) / rate(without, zeros, 1.0), 1.0)
+            self.prior = float(np.clip(with_.sum() / max(n.sum(), 1.0), 1e-6, 0.5))
         return self
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         weight = np.where(votes == 1, np.log(self.yes), np.where(votes == 0, np.log(self.no), 0.0)).sum(1)
-        return 1 / (1 + np.exp(-np.clip(weight + np.log(self.prior / (1 - self.prior)), -60, 60)))
+        y = 1 / (1 + np.exp(-np.clip(weight + np.log(self.prior / (1 - self.prior)), -60, 60)))
+        return np.where((votes == 1).any(1), y, 0.0)
 
 
 def best_cutoff(y: np.ndarray, n: np.ndarray) -> float:

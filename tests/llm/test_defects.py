@@ -15,7 +15,17 @@ def test_every_cut_of_a_grouped_statement_is_seen():
     assert ends == {SQL[: SQL.index(x)].strip() for x in ("ORDER", "DESC", "LIMIT")}  # these might as well be whole
 
 
-@pytest.mark.parametrize("sql", [SQL, "WITH x AS (SELECT a, COUNT(b) AS n FROM t GROUP BY a)\nSELECT * FROM x", "SELECT * FROM t", "SELECT COUNT(*) FROM t WHERE x IS NOT NULL", "select a from t where b = ?"])
+@pytest.mark.parametrize("sql", [SQL, "WITH x AS (SELECT a, COUNT(b) AS n FROM t GROUP BY a)\nSELECT * FROM x", "SELECT * FROM t", "SELECT COUNT(*) FROM t WHERE x IS NOT NULL", "select a from t where b = ?", "SELECT a, SUM(b) FROM t GROUP BY 1", "SELECT a, SUM(b) FROM t GROUP BY a, c", "SELECT a AS x, SUM(b) FROM t GROUP BY x", "SELECT a, SUM(b) FROM t GROUP BY ROLLUP(a)", "SELECT a, SUM(b) OVER (PARTITION BY a) FROM t", "SELECT t.a, SUM(t.b) FROM t GROUP BY a", "SELECT a FROM t WHERE is_active", "SELECT a FROM t WHERE b IS NOT TRUE", "SELECT 1", "SELECT a FROM t ORDER BY a NULLS LAST"])
+def test_whole_statements_are_not_cut_(sql):
+    assert not sql_is_cut(sql)
+
+
+@pytest.mark.parametrize("sql", ["SELECT a, SUM(b) FROM t", "SELECT a, b, SUM(c) FROM t GROUP BY a", "SELECT a, b", "SELECT a FROM t WHERE b", "SELECT a FROM t WHERE b = 'x", "SELECT SUM(a", "SELECT a FROM t WHERE b IS NOT", "SELECT a FROM t GROUP BY a OR", "WITH x AS (SELECT a FROM t)"])
+def test_cut_statements(sql):
+    assert sql_is_cut(sql)
+
+
+@pytest.mark.parametrize("sql", [SQL])
 def test_whole_statements_are_not_cut(sql):
     assert not sql_is_cut(sql)
 
@@ -78,6 +88,26 @@ def test_label_model_learns_who_is_right():
     assert 0.2 <= defects.best_cutoff(p, np.ones(len(p))) <= 1
 
 
+def test_two_good_functions_outweigh_one_that_votes_at_random():
+    rng = np.random.default_rng(1)
+    y = rng.random(20_000) < 0.02
+    votes = np.stack([np.where(rng.random(20_000) < 0.97, y, ~y).astype(float) for _ in range(2)] + [(rng.random(20_000) < 0.5).astype(float)], 1)
+    votes[rng.random(20_000) > 0.1, 2] = np.nan
+    model = LabelModel().fit(votes, np.ones(len(votes)))
+    said = model.posterior(votes) > 0.5
+    assert (said & y).sum() >= 0.9 * said.sum() and (said & y).sum() >= 0.9 * y.sum()
+    assert model.yes[2] < 3 < 10 < model.yes[:2].min()
+
+
+def test_functions_that_only_vote_for_do_not_flag_every_pair():
+    rng = np.random.default_rng(2)
+    y = rng.random(20_000) < 0.03
+    votes = np.where(rng.random((20_000, 3)) < np.where(y, 0.8, 0.005)[:, None], 1.0, np.nan)
+    model = LabelModel().fit(votes, np.ones(len(votes)))
+    said = model.posterior(votes) > 0.5
+    assert model.prior < 0.1 and said.sum() < 0.06 * len(y) and (said & y).sum() >= 0.9 * y.sum()
+
+
 def test_read_answer_and_empty_table(spark):
     assert read_answer(None)["prose"] == "" and read_answer("text")["json"] is None
     assert read_answer('```json\n{"sql": "SELECT 1"}\n```')["sql"] == "SELECT 1"
