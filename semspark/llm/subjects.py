@@ -10,7 +10,7 @@ document's share of the subject reaches ``share``; others are set aside and list
 the rounds that follow take evidence from them alone, and in the end their documents bear them whatever the last round says. Phrases that seeds know well and tie to no subject are no
 links (verification of edges). Rounds settle when the subjects of documents change by less than ``tolerance``.
 
-A mention in passing is learned, not listed: a phrase is one of passing mention if sentences that hold it name a subject
+A mention in passing is learned, not listed: a phrase tied to no subject is one of passing mention if sentences that hold it name a subject
 while the labels of their documents do so far more seldom than for other sentences. Such sentences treat no subject; so does
 a sentence whose phrases stay below an even chance of any. A document has the subjects of at least ``share`` of its sentences.
 
@@ -130,7 +130,7 @@ class SubjectGraph:
     one of passing mention below this part of the usual agreement with labels.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, subjects: list[str], share: float = 0.25, rounds: int = 8, tolerance: float = 0.01, prior: float = 3.0, purity: float = 0.7, even: float = 0.35, passing: float = 0.4):
+    def __init__(self, docs: DataFrame, labels: DataFrame, subjects: list[str], share: float = 0.25, rounds: int = 8, tolerance: float = 0.01, prior: float = 3.0, purity: float = 0.7, even: float = 0.35, passing: float = 0.55):
         if len(subjects) > MOST:
             raise ValueError(f"more than {MOST} subjects")
         self.subjects, self.share, self.rounds, self.tolerance = subjects, share, rounds, tolerance
@@ -162,14 +162,14 @@ class SubjectGraph:
         """The share of one label that the purest tenth of well-known phrases reaches: one figure."""
         return sums.filter("size >= 15").agg(F.percentile_approx(self._top() / F.col("size"), 0.9)).first()[0] or 1.0
 
-    def _passing(self, edges: DataFrame, state: DataFrame, seen: DataFrame) -> DataFrame:
-        """The phrases of passing mention."""
+    def _passing(self, frames: DataFrame, state: DataFrame, seen: DataFrame) -> DataFrame:
+        """The phrases of passing mention among ``frames``, the edges of phrases that are tied to no subject."""
         names, top = self.names, self._top()
         told = state.filter((top >= 0.5) & F.col("sure")).select("form", *[(F.col(n) == top).cast("double").alias(f"p{n}") for n in names])
         agree = sum((F.col(f"p{n}") * F.col(n) for n in names), F.lit(0.0))
         judged = told.join(seen, "form").select("form", agree.alias("agree"), "size")
         usual = judged.agg(F.sum("agree") / F.sum("size")).first()[0]  # one figure
-        rows = edges.join(judged, "form").groupBy("phrase").agg(F.sum("agree").alias("agree"), F.sum("size").alias("size"))
+        rows = frames.join(judged, "form").groupBy("phrase").agg(F.sum("agree").alias("agree"), F.sum("size").alias("size"))
         return rows.filter((F.col("size") >= 15) & (F.col("agree") < self.passing * (usual or 0.0) * F.col("size"))).select("phrase")
 
     @cached_property
@@ -222,7 +222,8 @@ class SubjectGraph:
                 break
             if settled:
                 verified = True
-                aside = join_unique(edges, self._passing(edges, state, seen), "phrase", "left_semi", hot=hot).select("form").distinct()
+                frames = materialise(join_unique(edges, flat, "phrase", "left_semi", hot=hot), "frames")
+                aside = join_unique(frames, self._passing(frames, state, seen), "phrase", "left_semi", hot=hot).select("form").distinct()
                 links = materialise(links.join(aside, "form", "left_anti"), "links")
                 trusted = materialise(known.join(held, ["doc_id", "subject"], "left_semi"), "trusted")
                 seen = self._seen(trusted)

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from semspark.llm.subjects import SubjectGraph, sentences
 
 LEXICON = {"law": ["contract", "clause", "court", "notary", "treaty"], "sport": ["goalkeeper", "stadium", "referee", "league", "sprint"], "science": ["telescope", "isotope", "reagent", "genome", "laser"]}
@@ -57,3 +59,53 @@ def test_sentences_of_odd_texts():
     text = "TICKET-12\nstate: open\n\n1. One  thing&nbsp;is done. Two ORG_2001 stay\nopen.\n[12:30] analyst_a: 第 3 项已关闭。以上为初步结果。\npage 1 / 2\n```sql\nSELECT 1.\n```\n(sent by a robot)"
     assert sentences(text) == ["one thing is done.", "two stay open.", "第 0 项已关闭。", "以上为初步结果。"]
     assert sentences("") == [] and sentences("--\n# x\n| a |") == []
+
+
+def word(rng):
+    return "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3))
+
+
+def made_up(subjects, n, seed):
+    """Documents whose words, predicates, filler and words of passing mention are all made up."""
+    rng = random.Random(seed)
+    nouns = {s: [word(rng) for _ in range(5)] for s in subjects}
+    acts = {s: [f"{word(rng)} {word(rng)}" for _ in range(3)] for s in subjects}
+    filler, aside = [f"{word(rng)} {word(rng)} {word(rng)}." for _ in range(6)], (word(rng), word(rng), word(rng))
+    docs, labels, truth = [], [], set()
+    for i in range(n):
+        own = rng.sample(subjects, rng.choice([1, 1, 2]))
+        lines = [f"{rng.choice(nouns[s])} {rng.choice(acts[s])} {word(rng)}." for s in own for _ in range(4)] + rng.sample(filler, 2)
+        truth |= {(i, s) for s in own}
+        labels += [(i, s) for s in own if rng.random() < 0.5]
+        if rng.random() < 0.5:
+            lines.append(f"{aside[0]} {aside[1]} {rng.choice(nouns[rng.choice([s for s in subjects if s not in own])])} {aside[2]}.")
+        if i % 40 == 0:
+            labels.append((i, rng.choice([s for s in subjects if s not in own])))  # a wrong label
+        rng.shuffle(lines)
+        docs.append((i, "\n".join(lines)))
+    return docs, labels, truth
+
+
+def good(got, truth):
+    return len(got & truth) >= 0.9 * len(truth) and len(got & truth) >= 0.9 * len(got)
+
+
+def test_unseen_words_and_templates_and_wrong_labels(spark):
+    docs, labels, truth = made_up(["aa", "bb", "cc", "dd"], 500, 3)
+    d, lab = spark.createDataFrame([(*r, 1, 1, "clash") for r in docs], DOCS), spark.createDataFrame([(*r, "clash") for r in labels], LABELS)
+    g = SubjectGraph(d, lab, ["aa", "bb", "cc", "dd"])
+    got = {(r.doc_id, r.subject) for r in g.document_shares().filter("share >= 0.25").collect()}
+    assert good(got, truth)
+    seeds = {(r.doc_id, r.subject): r.trusted for r in g.seeds().collect()}
+    assert set(seeds) == set(labels)
+    assert {k for k, t in seeds.items() if t} <= got  # trusted seeds are clamped
+    wrong = {k for k in seeds if k not in truth}
+    assert wrong and sum(seeds[k] for k in wrong) <= 0.2 * len(wrong) and sum(t for k, t in seeds.items() if k in truth) >= 0.9 * (len(seeds) - len(wrong))
+
+
+def test_many_subjects(spark):
+    subjects = [f"s{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+    docs, labels, truth = made_up(subjects, 2400, 5)
+    assert good(found(spark, docs, labels, tuple(subjects)), truth)
+    with pytest.raises(ValueError):
+        SubjectGraph(spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS), [str(i) for i in range(1001)])
