@@ -36,18 +36,19 @@ def densify(days: DataFrame, longest: int | None = None) -> DataFrame:
 
     Of a silence only ``longest`` - 1 days get a row each, the rest of them one together; None: all of them.
     """
-    nxt = F.lead("day").over(W.partitionBy("entity").orderBy("day"))
-    d = days.withColumn("_next", nxt)
+    # the rows before densifying are few and would be gathered in one task; the windows after it keep these partitions
+    spread = days.repartition(int(days.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")
+    d = spread.withColumn("_next", F.lead("day").over(W.partitionBy("entity").orderBy("day")))
     stop = F.coalesce(F.date_sub("_next", 1), F.col("day"))
     edge = stop if longest is None else F.least(stop, F.date_add("day", longest - 1))
     at = F.transform(F.sequence("day", edge), lambda x: F.struct(x.alias("day"), x.alias("through")))
     if longest is not None:
         rest = F.when(stop > edge, F.array(F.struct(F.date_add(edge, 1).alias("day"), stop.alias("through")))).otherwise(F.array().cast("array<struct<day:date,through:date>>"))
         at = F.concat(at, rest)
-    spread = d.withColumn("_at", F.explode(at))
+    dense = d.withColumn("_at", F.explode(at))
     first = F.col("_at.day") == F.col("day")
     figures = [c for c in days.columns if c not in ("entity", "day")]
-    return spread.select("entity", F.col("_at.day").alias("day"), F.col("_at.through").alias("through"), *[F.when(first, F.col(c)).alias(c) for c in figures])
+    return dense.select("entity", F.col("_at.day").alias("day"), F.col("_at.through").alias("through"), *[F.when(first, F.col(c)).alias(c) for c in figures])
 
 
 def rolling_totals(df: DataFrame, entity: str, date: str, amounts: list[str], windows: tuple[int, ...] = (7, 30), each_day: bool = True) -> DataFrame:
