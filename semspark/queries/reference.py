@@ -373,13 +373,20 @@ def structural_copies(spark: SparkSession, d: str) -> DataFrame:
     return g.filter("statements > 1")
 
 
-@query()
+_BARE = r"trim(regexp_replace(regexp_replace(replace({0}, '_x000D_', ' '), '--[^\n]*|/\*.*?\*/', ' ', 'gs'), '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH q AS (SELECT DISTINCT attempt_id, sql_text FROM generation_attempts),
+c AS (SELECT unnest(list_transform(regexp_extract_all(regexp_replace({_BARE.format("sql_text")}, '''(?:[^'']|'''')*''|"[^"]*"', '?', 'g'), '(?i)\b([a-z_]\w*)\s*\(', 1), lambda x: lower(x))) AS function FROM q)
+SELECT function, count(*) AS calls FROM c WHERE function NOT IN ('in', 'as', 'and', 'or', 'on', 'not', 'exists', 'over', 'by', 'select', 'from', 'where', 'join', 'with', 'values', 'then', 'else', 'when') GROUP BY 1""")
 def function_histogram(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "generation_attempts").select("attempt_id", "sql_text").distinct()
     return rows.select(F.explode(sqltext.functions(F.col("sql_text"))).alias("function")).groupBy("function").agg(F.count("*").alias("calls"))
 
 
-@query()
+@query(rf"""WITH q AS (SELECT DISTINCT attempt_id, sql_text FROM generation_attempts WHERE sql_text IS NOT NULL),
+w AS (SELECT regexp_matches(sql_text, '^\s*(--[^\n]*\n\s*)*(select|with)\b', 'is') AS is_query, regexp_extract({_BARE.format("sql_text")}, '(?i)\bwhere\b\s*(.*?)\s*(?:\b(?:group\s+by|order\s+by|having|limit)\b|$)', 1) AS clause FROM q)
+SELECT is_query, regexp_matches(clause, '(?i)(?:^|\W)org_code\s*(?:=\s*(?:''[^'']*''|\?|[0-9]+)|in\s*\([^)]*(?:''[^'']*''|\?|[0-9]+))') AS names_org, count(*) AS statements FROM w GROUP BY ALL""")
 def mandatory_filter_policy(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("sql_text")
     rows = table(spark, d, "generation_attempts").filter("sql_text IS NOT NULL").select("attempt_id", "sql_text").distinct()
@@ -421,6 +428,35 @@ def resolved_tables(spark: SparkSession, d: str) -> DataFrame:
     return ranking.resolve_names(used, "table_name", known, "full")
 
 
+@query(f"SELECT CASE WHEN order_amount < 0 THEN 'negative' WHEN order_amount = 0 THEN 'zero' WHEN order_amount < 1000 THEN 'small' WHEN order_amount IS NULL THEN 'unknown' ELSE 'large' END AS band, sum(1)::BIGINT AS orders, sum({dec('order_amount')})::DOUBLE AS order_amount FROM (SELECT DISTINCT * FROM deprecated_device_orders) GROUP BY 1")
+def amount_bands(spark: SparkSession, d: str) -> DataFrame:
+    """A dimension by CASE and a measure that sums ones."""
+    a = F.col("order_amount")
+    band = F.when(a < 0, "negative").when(a == 0, "zero").when(a < 1000, "small").when(a.isNull(), "unknown").otherwise("large")
+    rows = table(spark, d, "deprecated_device_orders").distinct()
+    return rows.groupBy(band.alias("band")).agg(F.sum(F.lit(1)).alias("orders"), F.sum(F.expr(dec("order_amount"))).cast("double").alias("order_amount"))
+
+
+@query("SELECT order_id, arg_min(status, loaded_at) FILTER (WHERE status IS NOT NULL) AS first_status, count(*) AS sent FROM (SELECT DISTINCT order_id, status, loaded_at FROM device_orders) GROUP BY 1 HAVING count(DISTINCT loaded_at) = count(*) AND count(*) > 1")
+def first_known_status(spark: SparkSession, d: str) -> DataFrame:
+    """Of orders sent more than once, at different times, the first status that is not null."""
+    rows = table(spark, d, "device_orders").select("order_id", "status", "loaded_at").distinct()
+    known = F.when(F.col("status").isNotNull(), F.struct("loaded_at", "status"))
+    g = rows.groupBy("order_id").agg(F.min(known)["status"].alias("first_status"), F.count("*").alias("sent"), F.count_distinct("loaded_at").alias("times"))
+    return g.filter("sent > 1 AND times = sent").drop("times")
+
+
+@query("""SELECT 'nodes' AS table_name, node_type AS kind, count(*) AS records, count(DISTINCT node_id) AS keys FROM nodes GROUP BY 2
+UNION ALL SELECT 'query_writer_calls', stage, count(*), count(DISTINCT call_id) FROM query_writer_calls GROUP BY 2
+UNION ALL SELECT 'generation_attempts', CASE WHEN is_valid THEN 'valid' ELSE 'not valid' END, count(*), count(DISTINCT attempt_id) FROM generation_attempts GROUP BY 2""")
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of a run: records and keys of each table by kind."""
+    valid = F.when(F.col("is_valid"), "valid").otherwise("not valid")
+    kinds = [("nodes", F.col("node_type"), "node_id"), ("query_writer_calls", F.col("stage"), "call_id"), ("generation_attempts", valid, "attempt_id")]
+    parts = [table(spark, d, n).groupBy(k.alias("kind")).agg(F.count("*").alias("records"), F.count_distinct(key).alias("keys")).select(F.lit(n).alias("table_name"), "kind", "records", "keys") for n, k, key in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 CONTRACT = ["assumptions", "columns", "explanation", "sql", "tables"]
 
 
