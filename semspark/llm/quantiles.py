@@ -73,8 +73,12 @@ def _row(s: Summary, level: float) -> tuple:
     return s[0], level, s[1].tolist(), s[2].tolist(), s[3].tolist()
 
 
-def part_summaries(df: DataFrame, group: str, part: str, measures: list[str], epsilon: float, buffer: int = 500_000) -> DataFrame:
-    """(group, part, measure, state) for each group and part that a task has read; a task holds at most ``buffer`` raw values."""
+def part_summaries(df: DataFrame, group: str, part: str, measures: list[str], epsilon: float, buffer: int = 500_000, most: int = 4096) -> DataFrame:
+    """(group, part, measure, state) for each group and part that a task has read.
+
+    A task holds at most ``buffer`` raw values and about ``most`` states; beyond that it gives out what it has, and a group may
+    have several states from one task.
+    """
     names = ["group", "part", "measure", "n", "level", "value", "rmin", "rmax"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,6 +105,9 @@ def part_summaries(df: DataFrame, group: str, part: str, measures: list[str], ep
             if held > buffer:
                 settle()
                 held = 0
+                if len(done) > most:
+                    yield pd.DataFrame([k + _row(s, 0.0) for k, s in done.items()], columns=names)
+                    done.clear()
         settle()
         if done:
             yield pd.DataFrame([k + _row(s, 0.0) for k, s in done.items()], columns=names)

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from semspark.llm.quantiles import ask, compress, load_summaries, merge, percentiles, summary
+from semspark.llm.quantiles import ask, compress, load_summaries, merge, merge_tree, part_summaries, percentiles, summary
 
 SHARES = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
 
@@ -55,3 +55,18 @@ def test_percentiles_of_loads_combine(spark, eps):
 def test_empty_table(spark):
     states = load_summaries(spark.createDataFrame([], SCHEMA), "g", "load", ["x"])
     assert percentiles(states, ["group", "measure"], SHARES).count() == 0
+
+
+def test_tasks_give_out_states_before_they_hold_too_many(spark):
+    data = [("AB"[i % 2], i % 30, float(i * 7919 % 1000), 1, 1.0, "c", "c") for i in range(3000)]
+    df = spark.createDataFrame(data, SCHEMA).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        states = part_summaries(df, "g", "load", ["x"], 0.05, buffer=50, most=10)
+        assert states.count() > 60
+        got = percentiles(merge_tree(states, ["group", "part", "measure"], 0.05, 0.25, 0.5), ["group"], SHARES, 0.05).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for r in got:
+        every = np.array([d[2] for d in data if d[0] == r.group])
+        assert r.n == len(every) and rank_error(every, r.value, r.rank) <= r.rank_error <= 0.05 * r.n + 1
