@@ -21,6 +21,10 @@ RESERVED = (
 ).split()
 
 
+# what ends the list of relations after FROM or JOIN
+LIST_END = r"(?i)\b(?:on|using|where|group|order|having|limit|union|intersect|except|left|right|full|cross|inner)\b.*$|\).*$"
+
+
 def nested(depth: int, possessive: str = "+") -> str:
     """Pattern of a pair of parentheses with pairs inside, ``depth`` deep."""
     inner = r"\([^()]*\)"
@@ -41,6 +45,7 @@ def statements(df: DataFrame, key: str, sql: str) -> DataFrame:
     """(key, b, relations): each query once, without comments and string literals, with its relations (alias, name, cte)."""
     rows = df.select(F.col(key).alias("key"), F.regexp_replace(bare(F.col(sql)), r"'(?:[^']|'')*'", "?").alias("b")).filter(r"b RLIKE '(?i)^(?:select|with)\\b'").distinct()
     pieces = F.filter(F.split(F.regexp_replace("b", r"(?i)\b(?:from|join)\b", "\u0001"), "\u0001"), lambda x, i: i > 0)
+    pieces = F.flatten(F.transform(pieces, lambda p: F.split(F.regexp_replace(p, LIST_END, ""), ",")))  # FROM a, b names two
 
     def relation(p: Column) -> Column:
         name = F.regexp_replace(F.regexp_extract(p, rf"^\s*({NAME})", 1), r"[`\"\s]", "")
@@ -57,7 +62,7 @@ def references(text: Column, relations: Column, ctes: Column) -> Column:
     t = F.regexp_replace(text, r'(?i)(?:\bas\s+)?"[^"]*"', " ")
     t = F.regexp_replace(t, r"(?i)\b(?:from|join)\s+[\w.`]+|\bas\s+\w+|\b\w+\s*\(", " ( ")
     found = F.transform(F.regexp_extract_all(t, F.lit(r"(?i)\b([a-z_]\w*(?:\.[a-z_]\w*){0,2})"), 1), lambda x: F.lower(x))
-    taken = F.concat(F.transform(relations, lambda r: r["alias"]), ctes, F.array(*[F.lit(w) for w in RESERVED]))
+    taken = F.concat(F.transform(relations, lambda r: r["alias"]), F.transform(relations, lambda r: F.lower(r["name"])), ctes, F.array(*[F.lit(w) for w in RESERVED]))
     return F.filter(F.array_distinct(found), lambda x: ~F.array_contains(taken, x))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sqlfacts
-from ..operators.sqlfacts import RESERVED, item_pattern, nested
+from ..operators.sqlfacts import LIST_END, RESERVED, item_pattern, nested
 from ..session import table
 from .reference import _BARE
 
@@ -34,7 +34,8 @@ _WORDS = "(" + ", ".join(f"'{w}'" for w in RESERVED) + ")"
 _FACTS = rf"""WITH q AS (SELECT DISTINCT attempt_id, regexp_replace({_BARE.format("sql_text")}, '''(?:[^'']|'''')*''', '?', 'g') AS b FROM generation_attempts),
 s AS (SELECT * FROM q WHERE regexp_matches(b, '(?i)^(?:select|with)\b')),
 ctes AS (SELECT DISTINCT attempt_id, b, lower(unnest(regexp_extract_all(b, '(?i)(?:\bwith|,)\s+(\w+)\s+as\s*\(\s*select', 1))) AS cte FROM s),
-pieces AS (SELECT attempt_id, b, unnest(string_split(regexp_replace(b, '(?i)\b(?:from|join)\b', chr(1), 'g'), chr(1))[2:]) AS p FROM s),
+lists AS (SELECT attempt_id, b, unnest(string_split(regexp_replace(b, '(?i)\b(?:from|join)\b', chr(1), 'g'), chr(1))[2:]) AS l FROM s),
+pieces AS (SELECT attempt_id, b, unnest(string_split(regexp_replace(l, '{LIST_END}', ''), ',')) AS p FROM lists),
 named AS (SELECT attempt_id, b, regexp_replace(regexp_extract(p, '^\s*({_NAME})', 1), '[`"\s]', '', 'g') AS name, lower(regexp_extract(p, '(?i)^\s*{_NAME}\s+(?:as\s+)?(\w+)', 1)) AS said FROM pieces),
 rel AS (SELECT DISTINCT n.attempt_id, n.b, n.name, CASE WHEN said <> '' AND said NOT IN {_WORDS} THEN said ELSE lower(string_split(n.name, '.')[-1]) END AS alias, c.cte IS NOT NULL AS is_cte
   FROM named n LEFT JOIN ctes c ON c.attempt_id = n.attempt_id AND c.b = n.b AND c.cte = lower(n.name) WHERE n.name <> '')"""
@@ -44,7 +45,7 @@ def _refs(rows: str, text: str) -> str:
     """SQL of the references in ``text`` of ``rows`` (attempt_id, b, place) and what they resolve to (CTEs raw, found, refs)."""
     return rf"""raw AS (SELECT DISTINCT attempt_id, b, place, lower(unnest(regexp_extract_all(regexp_replace(regexp_replace({text}, '(?i)(?:\bas\s+)?"[^"]*"', ' ', 'g'), '(?i)\b(?:from|join)\s+[\w.`]+|\bas\s+\w+|\b\w+\s*\(', ' ( ', 'g'), '(?i)\b([a-z_]\w*(?:\.[a-z_]\w*){{0,2}})', 1))) AS ref FROM {rows}),
 found AS (SELECT *, CASE WHEN contains(ref, '.') THEN regexp_extract(ref, '^(.*)\.[^.]+$', 1) ELSE '' END AS qualifier FROM raw WHERE ref NOT IN {_WORDS}
-  AND NOT EXISTS (SELECT 1 FROM rel r WHERE r.attempt_id = raw.attempt_id AND r.b = raw.b AND r.alias = raw.ref) AND NOT EXISTS (SELECT 1 FROM ctes c WHERE c.attempt_id = raw.attempt_id AND c.b = raw.b AND c.cte = raw.ref)),
+  AND NOT EXISTS (SELECT 1 FROM rel r WHERE r.attempt_id = raw.attempt_id AND r.b = raw.b AND (r.alias = raw.ref OR lower(r.name) = raw.ref)) AND NOT EXISTS (SELECT 1 FROM ctes c WHERE c.attempt_id = raw.attempt_id AND c.b = raw.b AND c.cte = raw.ref)),
 met AS (SELECT f.attempt_id, f.b, f.place, f.ref, f.qualifier, count(DISTINCT lower(r.name)) AS n, min(lower(r.name)) AS name, coalesce(bool_or(r.is_cte), false) AS is_cte FROM found f
   LEFT JOIN rel r ON r.attempt_id = f.attempt_id AND r.b = f.b AND (f.qualifier = '' OR r.alias = f.qualifier OR lower(r.name) = f.qualifier) GROUP BY ALL),
 refs AS (SELECT *, CASE WHEN n = 0 THEN CASE WHEN qualifier = '' THEN 'no_table' ELSE 'unknown_alias' END WHEN n > 1 THEN CASE WHEN qualifier = '' THEN 'unqualified_ambiguous' ELSE 'alias_ambiguous' END
@@ -74,8 +75,8 @@ def statement_columns(spark: SparkSession, d: str) -> DataFrame:
 
 _OUTPUT = r'(?i)\s+as\s+("[^"]*"|`[^`]*`|[^\s,()]+)\s*$'
 _PROJECTIONS = rf"""{_FACTS},
-lists AS (SELECT attempt_id, b, regexp_extract_all(regexp_extract(regexp_replace(b, '(?i)^with\s+(?:\w+\s+as\s*{nested(4, "")}\s*,?\s*)+', ''), '(?i)^select\s+(?:distinct\s+)?(.*?)\s+from\b', 1), '{item_pattern("")}') AS items FROM s),
-items AS (SELECT attempt_id, b, trim(unnest(items)) AS item, generate_subscripts(items, 1) AS place FROM lists),
+outputs AS (SELECT attempt_id, b, regexp_extract_all(regexp_extract(regexp_replace(b, '(?i)^with\s+(?:\w+\s+as\s*{nested(4, "")}\s*,?\s*)+', ''), '(?i)^select\s+(?:distinct\s+)?(.*?)\s+from\b', 1), '{item_pattern("")}') AS items FROM s),
+items AS (SELECT attempt_id, b, trim(unnest(items)) AS item, generate_subscripts(items, 1) AS place FROM outputs),
 e AS (SELECT *, regexp_replace(item, '{_OUTPUT}', '') AS expr, regexp_replace(regexp_extract(item, '{_OUTPUT}', 1), '["`]', '', 'g') AS named FROM items),
 {_refs("e", "expr")},
 fields AS (SELECT attempt_id, b, place, string_agg(DISTINCT f, ',' ORDER BY f) AS fields FROM (SELECT attempt_id, b, place, {_REF} AS f FROM refs) WHERE f IS NOT NULL GROUP BY ALL),

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from semspark.queries import mining, problems, reference
+from semspark.queries import assets, mining, problems, reference
 
 REPO = Path(entry.__file__).parent
-CORE = {**problems.SQL, **reference.SQL, **mining.SQL}
+CORE = {**problems.SQL, **reference.SQL, **mining.SQL, **assets.SQL}
 
 
 def plain(v):
@@ -35,7 +35,7 @@ def test_query_equals_its_sql(spark, small, name):
     assert sets(df.columns, df.collect()) == sets(rel.columns, rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted((set(problems.QUERIES) | set(reference.QUERIES) | set(mining.QUERIES)) - set(CORE)))
+@pytest.mark.parametrize("name", sorted((set(problems.QUERIES) | set(reference.QUERIES) | set(mining.QUERIES) | set(assets.QUERIES)) - set(CORE)))
 def test_query_without_sql_has_rows_and_no_empty_column(spark, small, name):
     df = entry.queries()[name](spark, small)
     row = df.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()

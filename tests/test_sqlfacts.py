@@ -6,7 +6,7 @@ ROWS = [
     (1, "SELECT t.a, SUM(b) AS \"x, (y)\", row_number() OVER (PARTITION BY t.a ORDER BY u.c) rn, max(coalesce(u.c, t.d)) m FROM db.big t LEFT JOIN u ON t.a = u.c AND u.k = 'a, b' JOIN v USING (k, l) WHERE 1 = 1 AND t.a BETWEEN 1 AND 2 AND u.c IN ('p', ?) GROUP BY t.a, coalesce(u.c, 1) ORDER BY 1, t.a LIMIT 5"),
     (2, "WITH w AS (SELECT k, max(v) AS v FROM s GROUP BY k) SELECT w.k, *, w.v FROM w -- FROM nowhere"),
     (3, "/* FROM x */ select a from only_one where 2 = 3"),
-    (4, None), (5, ""), (6, "delete from t"), (3, "/* FROM x */ select a from only_one where 2 = 3"), (7, "SELECT 1"), (8, "SELECT z.a FROM t, y"),
+    (4, None), (5, ""), (6, "delete from t"), (3, "/* FROM x */ select a from only_one where 2 = 3"), (7, "SELECT 1"), (8, "SELECT z.a FROM t, db.y w WHERE 1 = 1"),
 ]
 
 
@@ -21,7 +21,7 @@ def rows(df, *columns):
 
 def test_aliases_and_columns(facts):
     assert rows(f.alias_map(facts), "key", "alias", "table_name", "is_cte") == [
-        (1, "t", "db.big", False), (1, "u", "u", False), (1, "v", "v", False), (2, "s", "s", False), (2, "w", "w", True), (3, "only_one", "only_one", False), (8, "t", "t", False),
+        (1, "t", "db.big", False), (1, "u", "u", False), (1, "v", "v", False), (2, "s", "s", False), (2, "w", "w", True), (3, "only_one", "only_one", False), (8, "t", "t", False), (8, "w", "db.y", False),
     ]
     got = {(r.key, r.reference): (r.status, r.field_ref) for r in f.column_facts(facts).collect()}
     assert got[(1, "t.a")] == ("alias", "field://db.big/a") and got[(1, "u.k")] == ("alias", "field://u/k")
