@@ -29,9 +29,10 @@ def topk_either_endpoint(pairs: DataFrame, a: str, b: str, score: str, k: int) -
 
 def standardize(df: DataFrame, column: str, value: str) -> DataFrame:
     """``df`` with ``standard``: value less its column's mean, by its population deviation; 0 where that is 0."""
-    w = W.partitionBy(column)
-    sd = F.stddev_pop(value).over(w)
-    return df.withColumn("standard", F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / sd).otherwise(F.lit(0.0)))
+    # means and deviations are aggregated before the shuffle; rows of a hot column value need not meet in one task
+    of = df.groupBy(F.col(column).alias("_column")).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    out = df.join(of, F.col(column).eqNullSafe(F.col("_column")))
+    return out.withColumn("standard", F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mean")) / F.col("_sd")).otherwise(F.lit(0.0))).drop("_column", "_mean", "_sd")
 
 
 def document_frequency(df: DataFrame, group: str, item: str, floor: float = 0.2) -> DataFrame:

@@ -63,15 +63,27 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def active_sheet(book: zipfile.ZipFile) -> str:
+    """File of the sheet that the workbook opens with; without a list of sheets, the one with the least number."""
+    names = book.namelist()
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(names):
+        root = ElementTree.fromstring(book.read("xl/workbook.xml"))
+        view, sheets = root.find(f".//{SHEET}workbookView"), root.findall(f".//{SHEET}sheet")
+        number = int(view.get("activeTab", 0)) if view is not None else 0
+        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        target = links[next(v for k, v in sheets[number].attrib.items() if k.endswith("}id"))]
+        return target.removeprefix("/") if target.startswith("/") else f"xl/{target}"
+    return min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+
+
 def sheet_rows(data: bytes) -> Iterator[tuple[int, list[str | None]]]:
-    """(row number, cells as text) of the first sheet of a workbook."""
+    """(row number, cells as text) of the active sheet of a workbook."""
     book = zipfile.ZipFile(io.BytesIO(data))
     names = book.namelist()
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in si.iter(f"{SHEET}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")]
-    sheet = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
-    for row in ElementTree.fromstring(book.read(sheet)).iter(f"{SHEET}row"):
+    for row in ElementTree.fromstring(book.read(active_sheet(book))).iter(f"{SHEET}row"):
         cells: list[str | None] = []
         for c in row.iter(f"{SHEET}c"):
             at = _column(c.get("r"))
