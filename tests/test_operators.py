@@ -145,6 +145,53 @@ def test_search_agrees_with_brute_force(spark):
     assert [g[0] for g in got] == [j for _, j in want[:3]] and all(math.isclose(g[1], s) for g, (s, _) in zip(got, want))
 
 
+def best_by_brute_force(docs, asked, k):
+    """(query, key, score) of the k best, over rows (key, text) of which several may have one key."""
+    grams = {}
+    for i, t in docs:
+        grams.setdefault(i, Counter()).update(char_wb(t or ""))
+    df, n = Counter(g for v in grams.values() for g in v), sum(i is not None for i in grams)
+    w = {i: {g: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[g])) + 1) for g, c in v.items()} for i, v in grams.items() if i is not None}
+    w = {i: {g: x / math.sqrt(sum(y * y for y in v.values())) for g, x in v.items()} for i, v in w.items()}
+    out = []
+    for q in asked:
+        scores = [(-round(sum(x * v[g] for g, x in w[q].items() if g in v), 9), i) for i, v in w.items() if i != q]
+        out += [(q, i, s) for s, i in sorted(x for x in scores if x[0] < 0)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("shard_chars", [400, 3_000, 1_000_000])
+def test_search_over_many_shards_agrees_with_brute_force(spark, shard_chars):
+    r = random.Random(4)
+    pool = ["order", "orders", "device", "device2", "fact", "aa", "a", "中中文", "ledger", "ledgers", "stat", "static", "ⅷ", "Fleet"]
+    docs = [(f"k{i:03}", " ".join(r.choices(pool, k=r.choice([1, 2, 3, 4, 40])))) for i in range(400)]
+    docs += [("k000", "fleet fleet"), ("k001", None), ("z", None), ("y", " "), ("x", "unlike"), (None, "device fact"), *[(f"tie{i}", "order device fact") for i in range(9)]]
+    asked = [*[f"k{i:03}" for i in range(0, 400, 9)], "k001", "z", "x", "tie4"]
+    d = spark.createDataFrame(docs, "id string, t string")
+    q = spark.createDataFrame([(x,) for x in [*asked, "tie4", "absent", None]], "id string")
+    got = ranking.tfidf_search(d, q, "id", "t", 4, shard_chars).orderBy("query", "rank").collect()
+    want = sorted(best_by_brute_force(docs, sorted(set(asked)), 4), key=lambda x: (x[0], x[2], x[1]))
+    assert [(x.query, x.id) for x in got] == [x[:2] for x in want]
+    assert all(math.isclose(x.score, -w[2], abs_tol=1e-8) for x, w in zip(got, want))
+
+
+def test_search_shuffles_documents_and_not_their_postings(spark):
+    r = random.Random(5)
+    pool = [f"{a}{b}" for a in ("de", "or", "led", "fl", "mar", "con") for b in ("vice", "der", "ger", "eet", "gin", "tract")]
+    docs = [(i, " ".join(r.choices(pool, k=4))) for i in range(2_000)]
+    d = spark.createDataFrame(docs, "id int, t string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        got = sc.statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return {got.apply(i).stageId(): got.apply(i).shuffleWriteRecords() for i in range(got.size())}
+
+    old = stages()
+    assert ranking.tfidf_search(d, d.filter("id % 50 = 0"), "id", "t", 5).count() == 200
+    assert sum(n for i, n in stages().items() if i not in old) < 20 * len(docs)
+
+
 def test_join_of_hot_keys(spark):
     left = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 'hot', CAST(id % 50 AS STRING)) AS k")
     right = spark.createDataFrame([("hot", 1), ("1", 2), ("99", 3)], "k string, v int")
